@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .clean_lines import OP6_SQL, op6_line_rules
+from .simhash import op7_simhash_bk
 
-QUERIES = {"op6_line_rules": op6_line_rules}
+QUERIES = {"op6_line_rules": op6_line_rules, "op7_simhash_bk": op7_simhash_bk}
 ORACLE = {"op6_line_rules": OP6_SQL}
