@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from .clean_lines import OP6_SQL, op6_line_rules
+from .packing import op10_best_fit_packing
 from .simhash import op7_simhash_bk
 
-QUERIES = {"op6_line_rules": op6_line_rules, "op7_simhash_bk": op7_simhash_bk}
+QUERIES = {
+    "op6_line_rules": op6_line_rules,
+    "op7_simhash_bk": op7_simhash_bk,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 ORACLE = {"op6_line_rules": OP6_SQL}
