@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .clean_lines import OP6_SQL, op6_line_rules
 from .packing import op10_best_fit_packing
+from .pii import op9_weak_pii
+from .quality import op2_subword_quality
 from .simhash import op7_simhash_bk
+from .urls import op8_url_language_model
 
 QUERIES = {
+    "op2_subword_quality": op2_subword_quality,
     "op6_line_rules": op6_line_rules,
     "op7_simhash_bk": op7_simhash_bk,
+    "op8_url_language_model": op8_url_language_model,
+    "op9_weak_pii": op9_weak_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {"op6_line_rules": OP6_SQL}
