@@ -63,7 +63,7 @@ def features(text: bytes, seen: dict[bytes, list[int]]) -> tuple[np.ndarray, np.
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias) of the log-odds of label 1."""
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not (len(labels) and 0 < share < 1):
         return np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
