@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .clean_lines import OP6_SQL, op6_line_rules
+from .decontaminate import op5_cgk_decontamination
 from .packing import op10_best_fit_packing
 from .pii import op9_weak_pii
 from .quality import op2_subword_quality
@@ -11,6 +12,7 @@ from .urls import op8_url_language_model
 
 QUERIES = {
     "op2_subword_quality": op2_subword_quality,
+    "op5_cgk_decontamination": op5_cgk_decontamination,
     "op6_line_rules": op6_line_rules,
     "op7_simhash_bk": op7_simhash_bk,
     "op8_url_language_model": op8_url_language_model,
