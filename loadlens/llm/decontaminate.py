@@ -26,7 +26,7 @@ SEED = 3
 DISTANCE = 0.1
 RECALL = 0.98
 SAMPLED = 6
-WALKS = 8
+WALKS = 4
 MOST_TABLES = 4096
 BLOCK_BYTES = 8 << 20
 #: The walk's sampled steps lie within this many times the item's length (it advances every other step).
@@ -98,7 +98,7 @@ class Items:
         self.walks = rng.integers(0, 2, (WALKS, int(STEPS * longest) + 2, 256)).astype(np.int8)
         self.draws = rng.random((MOST_TABLES, SAMPLED))
         self.tables = self._tables(rng, recall)
-        self.signs = [self.sign(np.frombuffer(t, np.uint8)[None]) for t in self.texts]
+        self.signs = self.sign(self.texts, self.sizes)
 
     def _code(self, codes: list[int]) -> int:
         out = 0
@@ -107,9 +107,9 @@ class Items:
         return out
 
     def _tables(self, rng: np.random.Generator, recall: float) -> int:
-        """Tables for the recall at the largest distance, by simulated edits of the items (256 at most)."""
+        """Tables for the recall at the largest distance, by simulated edits of the items (64 of them at most)."""
         hits = []
-        for k in rng.permutation(len(self.texts))[:256]:
+        for k in rng.permutation(len(self.texts))[:64]:
             text = self.texts[k]
             changed = bytearray(text)
             for _ in range(int(self.distance * len(text))):
@@ -120,26 +120,29 @@ class Items:
                     changed[min(at, len(changed) - 1)] = int(rng.integers(97, 123))
                 else:
                     del changed[min(at, len(changed) - 1)]
-            window = np.zeros(len(text), np.uint8)
-            part = np.frombuffer(bytes(changed[: len(text)]), np.uint8)
-            window[: len(part)] = part
-            pair = np.stack([np.frombuffer(text, np.uint8), window])
+            pair = np.zeros((2, len(text)), np.uint8)
+            for row, own in zip(pair, (text, bytes(changed[: len(text)]))):
+                row[: len(own)] = np.frombuffer(own, np.uint8)
             steps = int(STEPS * len(text)) + 1
             hits += [float((e[0] == e[1]).mean()) for e in (embed(pair, w[:steps]) for w in self.walks)]
         p = float(np.mean(np.array(hits or [1.0]) ** SAMPLED))
         return int(np.clip(np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999))), WALKS, MOST_TABLES))
 
-    def sign(self, windows: np.ndarray) -> np.ndarray:
-        """LSH keys (window, table) of windows of one size."""
-        steps = int(STEPS * windows.shape[1]) + 1
-        out = np.empty((len(windows), self.tables), np.uint64)
-        places = (self.draws[: self.tables] * steps).astype(np.int64)
+    def sign(self, strings: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """LSH keys (string, table) of strings cut or zero-filled to the sizes; zeros past an end walk in place."""
+        rows = np.zeros((len(strings), int(sizes.max(initial=1))), np.uint8)
+        for row, text, n in zip(rows, strings, sizes.tolist()):
+            own = np.frombuffer(text[:n], np.uint8)
+            row[: len(own)] = own
+        out = np.empty((len(strings), self.tables), np.uint64)
+        steps = (STEPS * sizes).astype(np.int64) + 1
+        every = np.arange(len(strings))[:, None]
         for k in range(WALKS):
-            shape = embed(windows, self.walks[k, :steps])
+            shape = embed(rows, self.walks[k, : int(steps.max(initial=1))])
             mine = np.arange(k, self.tables, WALKS)
-            key = np.zeros((len(windows), len(mine)), np.uint64)
+            key = np.zeros((len(strings), len(mine)), np.uint64)
             for j in range(SAMPLED):
-                key = key * np.uint64(256) + shape[:, places[mine, j]]
+                key = key * np.uint64(256) + shape[every, (self.draws[mine, j] * steps[:, None]).astype(np.int64)]
             out[:, mine] = key
         return out
 
@@ -171,7 +174,7 @@ class Items:
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(text, item, distance) of the items that each of the texts holds within the distance."""
-        asked: dict[int, list[tuple[int, int, bytes]]] = {}
+        asked: dict[tuple[int, int, bytes, int], None] = {}
         for row, text in enumerate(texts):
             words = normal(text)
             found = self.windows(words)
@@ -182,25 +185,22 @@ class Items:
             whole = b" ".join(words)
             for item, s in sorted(found):
                 n = int(self.sizes[item])
-                s = min(max(s, 0), len(words) - 1)
+                at = int(starts[min(max(s, 0), len(words) - 1)])
                 room = int(self.distance * n) + 1
-                at = int(starts[s])
-                asked.setdefault(n, []).append((row, item, whole[max(0, at - room) : at + n + room], min(at, room)))
+                asked[row, item, whole[max(0, at - room) : at + n + room], min(at, room)] = None
         best: dict[tuple[int, int], int] = {}
-        for n, rows in asked.items():
-            for k in range(0, len(rows), 2048):
-                part = list(dict.fromkeys(rows[k : k + 2048]))
-                windows = np.zeros((len(part), n), np.uint8)
-                for j, (_, _, region, shift) in enumerate(part):
-                    own = np.frombuffer(region[shift : shift + n], np.uint8)
-                    windows[j, : len(own)] = own
-                signs = self.sign(windows)
-                for j, (row, item, region, _) in enumerate(part):
-                    if best.get((row, item)) != 0 and (signs[j] == self.signs[item][0]).any():
-                        text = self.texts[item].decode()
-                        d = edit_within(text, region.decode(errors="replace"))
-                        if d <= self.distance * len(text):
-                            best[row, item] = min(d, best.get((row, item), d))
+        rows = list(asked)
+        for k in range(0, len(rows), 4096):
+            part = rows[k : k + 4096]
+            of = np.array([item for _, item, _, _ in part], np.int64)
+            signs = self.sign([region[shift:] for _, _, region, shift in part], self.sizes[of])
+            for j in np.flatnonzero((signs == self.signs[of]).any(axis=1)).tolist():
+                row, item, region, _ = part[j]
+                if best.get((row, item)) != 0:
+                    text = self.texts[item].decode()
+                    d = edit_within(text, region.decode(errors="replace"))
+                    if d <= self.distance * len(text):
+                        best[row, item] = min(d, best.get((row, item), d))
         return [(row, item, d) for (row, item), d in sorted(best.items())]
 
 
