@@ -8,9 +8,11 @@ from .packing import op10_best_fit_packing
 from .pii import op9_weak_pii
 from .quality import op2_subword_quality
 from .simhash import op7_simhash_bk
+from .tool_calls import OP1_SQL, op1_tool_calls
 from .urls import op8_url_language_model
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_subword_quality": op2_subword_quality,
     "op5_cgk_decontamination": op5_cgk_decontamination,
     "op6_line_rules": op6_line_rules,
@@ -19,4 +21,4 @@ QUERIES = {
     "op9_weak_pii": op9_weak_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE = {"op6_line_rules": OP6_SQL}
+ORACLE = {"op1_tool_calls": OP1_SQL, "op6_line_rules": OP6_SQL}
