@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chaining import op4_collinear_chains
 from .clean_lines import OP6_SQL, op6_line_rules
 from .decontaminate import op5_cgk_decontamination
 from .packing import op10_best_fit_packing
@@ -14,6 +15,7 @@ from .urls import op8_url_language_model
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_subword_quality": op2_subword_quality,
+    "op4_collinear_chains": op4_collinear_chains,
     "op5_cgk_decontamination": op5_cgk_decontamination,
     "op6_line_rules": op6_line_rules,
     "op7_simhash_bk": op7_simhash_bk,
