@@ -9,12 +9,14 @@ from .packing import op10_best_fit_packing
 from .pii import op9_weak_pii
 from .quality import op2_subword_quality
 from .simhash import op7_simhash_bk
+from .suffix_dedup import op3_suffix_array
 from .tool_calls import OP1_SQL, op1_tool_calls
 from .urls import op8_url_language_model
 
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_subword_quality": op2_subword_quality,
+    "op3_suffix_array": op3_suffix_array,
     "op4_collinear_chains": op4_collinear_chains,
     "op5_cgk_decontamination": op5_cgk_decontamination,
     "op6_line_rules": op6_line_rules,
