@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # SQL building blocks: events, window sums, transitions.
 _EVENTS = f"""
 ev0 AS (
-  SELECT event_id AS seq, user_id % 5 AS z, (epoch_ms(ts) - {START}) // 720 AS u FROM events
+  SELECT event_id AS seq, user_id % 5 AS z, (epoch_us(ts) // 1000 - {START}) // 720 AS u FROM events
 ), ev1 AS (
   SELECT seq, concat('Z-', z + 1) AS zone_id, u + {START} AS t,
          (CASE (z + u // 900000) % 3 WHEN 0 THEN 450 WHEN 1 THEN CASE WHEN (u // 100000) % 2 = 0 THEN 950 ELSE 500 END ELSE 900 END
