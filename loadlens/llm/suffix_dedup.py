@@ -9,8 +9,8 @@ sorted again.
 To spread the work, every 50-byte window is dealt to the smallest hash of its 16-byte strings (its anchor): equal
 windows have equal anchors, and windows that follow one another with one anchor form a segment. Anchors in one document
 only can't matter. Of equal segments one stands for all, so a passage in a third of all documents is combined on the map
-side; the distinct segments of an anchor go through a suffix array together, and each occurrence takes over what its
-segment learned.
+side; the distinct segments of an anchor go through a suffix array together, less the parts that hold a short string found only
+once among them, and each occurrence takes over what its segment learned.
 
 Defined cases: a null text counts as empty; texts shorter than a window lose nothing; a row with a null doc_id is
 earlier or later than none and is kept whole; rows that repeat a doc_id are one document; an empty table gives an empty
@@ -32,8 +32,10 @@ from .common import dropped, written
 
 WINDOW = 50
 ANCHOR = 16
-#: Bytes of segments that go into one suffix array, about.
-BLOCK = 120_000
+#: Bytes of segments that are compared at once, about; what of them is promising goes into one suffix array.
+BLOCK = 300_000
+#: Length of the strings that a window's parts are looked for by first (a power of two).
+PROBE = 32
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
@@ -177,8 +179,40 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"anchor long, segment long, doc_id {kind.simpleString()}, first int, n int")
 
 
-def earlier_windows(texts: list[bytes], ids: list) -> list[list[tuple[int, int]]]:
+def promising(texts: list[bytes], probe: int = PROBE) -> list[tuple[int, int, int]]:
+    """(segment, first, end) of the runs of windows all of whose probe-byte strings occur twice in the texts.
+
+    A window that is found again passes, whatever the hashes; what a hash lets through by mistake, the suffix array parts.
+    """
+    sizes = np.array([len(t) for t in texts])
+    h = np.concatenate([np.r_[np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1), 0] for t in texts]).astype(np.uint64)
+    n, s = len(h), 1
+    while s < probe:
+        h = (h[:-s] * np.uint64(0x9E3779B97F4A7C15 + 2 * s)) + h[s:]
+        h ^= h >> np.uint64(31)
+        s *= 2
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(n, bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    missing = np.r_[0, np.cumsum(~twice)]
+    span = WINDOW - probe + 1
+    at = np.arange(max(0, n - WINDOW + 1))
+    good = (at + WINDOW <= (base + sizes)[owner[at]]) & (missing[at + span] == missing[at])
+    edges = np.flatnonzero(np.diff(np.r_[False, good, False]))
+    return [(int(owner[a]), int(a - base[owner[a]]), int(b - base[owner[a]])) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist())]
+
+
+def earlier_windows(segments: list[bytes], ids: list) -> list[list[tuple[int, int]]]:
     """For each segment the runs of windows that also start in a segment with a smaller id, by one suffix array."""
+    out: list[list[tuple[int, int]]] = [[] for _ in segments]
+    parts = promising(segments)
+    if not parts:
+        return out
+    texts = [segments[k][a : b + WINDOW - 1] for k, a, b in parts]
     symbols = np.concatenate([np.r_[np.frombuffer(t, np.uint8).astype(np.int16) + 1, 0] for t in texts])
     sizes = np.array([len(t) for t in texts])
     base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
@@ -192,18 +226,16 @@ def earlier_windows(texts: list[bytes], ids: list) -> list[list[tuple[int, int]]
             break
         same &= symbols[order[1:] + k] == symbols[order[:-1] + k]
     ranks = {x: r for r, x in enumerate(sorted(set(ids)))}
-    rank = np.array([ranks[x] for x in ids])
+    rank = np.array([ranks[ids[k]] for k, _, _ in parts])
     first = np.flatnonzero(np.r_[True, ~same])
     mine = rank[owner[order]]
-    least = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.r_[first, len(order)])) if len(order) else mine
-    early = np.zeros(len(symbols) + 1, bool)
+    least = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.r_[first, len(order)]))
+    early = np.zeros(len(symbols), bool)
     early[order[least < mine]] = True
-    edges = np.flatnonzero(early[1:] != early[:-1]) + 1
-    starts = np.r_[[0] if early[0] else [], edges].astype(np.int64)
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for a, b in zip(starts[0::2].tolist(), starts[1::2].tolist()):
-        of = int(owner[a])
-        out[of].append((a - int(base[of]), b - int(base[of])))
+    edges = np.flatnonzero(np.diff(np.r_[False, early, False]))
+    for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+        of, start, _ = parts[owner[a]]
+        out[of].append((a - int(base[owner[a]]) + start, b - int(base[owner[a]]) + start))
     return out
 
 
