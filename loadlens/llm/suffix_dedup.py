@@ -19,7 +19,6 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, freed, written
 
 WINDOW = 50
 ANCHOR = 16
@@ -265,12 +264,6 @@ def learned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, segment long, runs array<struct<a:int,b:int>>")
 
 
-def freed(spark) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<a,b>>): unsorted runs of windows to remove, for documents that have any."""
     spark = docs.sparkSession
