@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from loadlens.functions import scalar
 from loadlens.operators import metrics, transitions, views, windows
 from loadlens.plans import api
-from loadlens.sources.events_table import START, ZONES, zone_events
+from loadlens.sources.events_table import START, ZONES, zone_event_stream, zone_events
 from loadlens.sources.generator import generate_events, generate_zones
+from loadlens.sources.scratch import fresh_folder
+from loadlens.streaming import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str = "") -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[name or f.__name__] = sql
         return f
 
     return add
@@ -140,7 +142,7 @@ def window_duration(spark, sf_dir):
     return _scored(spark, sf_dir).select("zone_id", "seq", "duration60", "duration300")
 
 
-@query(_TR + " SELECT * FROM tr")
+@query(_TR + " SELECT * FROM tr", "transitions")
 def zone_transitions(spark, sf_dir):
     return _changes(spark, sf_dir)
 
@@ -344,3 +346,11 @@ def late_events_scored(spark, sf_dir):
 @query("WITH RECURSIVE " + _LATE_SCORED + _MACHINE + " SELECT * FROM tr")
 def late_transitions(spark, sf_dir):
     return transitions.transitions(transitions.scored_in_arrival_order(zone_events(spark, sf_dir, late=True)))
+
+
+@query("WITH RECURSIVE " + _LATE_SCORED + _MACHINE + " SELECT * FROM tr")
+def stream_transitions(spark, sf_dir):
+    """The stream run to the end of its source; what it wrote."""
+    folder = fresh_folder(spark, "stream")
+    pipeline.start(zone_event_stream(spark, sf_dir, late=True), folder, folder.rsplit("/", 1)[1]).awaitTermination()
+    return spark.read.parquet(f"{folder}/transitions").drop("batch")

@@ -11,8 +11,19 @@ ZONES = 5
 
 
 def zone_events(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    return as_zone_events(spark.read.parquet(f"{sf_dir}/events.parquet"), late)
+
+
+def zone_event_stream(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    """The same as a stream; files are taken one by one in the order they came."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1)
+    return as_zone_events(stream.parquet(sf_dir), late)
+
+
+def as_zone_events(events: DataFrame, late: bool = False) -> DataFrame:
     """(seq, zone_id, t, load_milli): seq is the order of arrival; late puts every 97th event 90 s back."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
+    events = events.select("event_id", "ts", "user_id")
     past = F.unix_millis(F.col("ts").cast("timestamp")) - START
     rows = events.select("event_id", "user_id", F.floor(past / SQUEEZE).alias("u"))
     regime = (F.col("user_id") % ZONES + F.floor(F.col("u") / 900_000)) % 3
