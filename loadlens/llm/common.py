@@ -24,7 +24,17 @@ def scratch(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(spark, "_loadlens_scratch", None) or tempfile.mkdtemp(prefix="loadlens-")
         spark._loadlens_scratch = folder
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/loadlens-{spark.sparkContext.applicationId}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables this application has written; results that read them are gone with them."""
+    _delete(spark, scratch(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -36,11 +46,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by written() that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def freed(spark: SparkSession) -> None:
