@@ -114,22 +114,23 @@ def suffix_array(text: list[int]) -> list[int]:
     """All suffixes in order; a suffix that is a prefix of another comes first."""
     n = len(text)
     group, length = lyndon_groups(text)
-    head, after = [-1] * (n + 1), [-1] * n
-    for i in range(n):
-        e = i + length[i]
-        after[i] = head[e]
-        head[e] = i
+    ends = np.arange(n) + np.array(length, np.int64)
+    by_end = np.argsort(ends, kind="stable")
+    from_end = np.searchsorted(ends[by_end], np.arange(n + 2)).tolist()
+    by_end = by_end.tolist()
     out, free = [0] * n, list(range(n))
-    p = n
-    for k in range(n + 1):
-        i = head[p]
-        while i >= 0:
+    for i in by_end[from_end[n] :]:
+        g = group[i]
+        out[free[g]] = i
+        free[g] += 1
+    for p in out:  # it grows ahead of the loop
+        a, b = from_end[p], from_end[p + 1]
+        while a < b:
+            i = by_end[a]
             g = group[i]
             out[free[g]] = i
             free[g] += 1
-            i = after[i]
-        if k < n:
-            p = out[k]
+            a += 1
     return out
 
 
@@ -156,26 +157,52 @@ def segments(text: bytes, window: int = WINDOW, width: int = ANCHOR) -> tuple[np
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, segment, doc_id, first, n): the segments of all texts, named by a hash of their bytes."""
+    """(anchor, doc_id, first, n): the segments of all texts."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            found, names = [], []
-            for value in batch.column(1):
-                text = value.as_buffer().to_pybytes() if value.is_valid else b""
-                found.append(part := segments(text))
-                names += [xxh64_intdigest(text[a : a + k + WINDOW - 1]) for a, k in zip(part[1].tolist(), part[2].tolist())]
+            found = [segments(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
             of = np.repeat(np.arange(len(found)), [len(a) for a, _, _ in found])
             anchor, first, n = (np.concatenate([x[j] for x in found] or [np.empty(0, np.int64)]) for j in range(3))
-            columns = [pa.array(anchor), pa.array(np.array(names, np.uint64).view(np.int64)), batch.column(0).take(pa.array(of, pa.int64()))]
+            columns = [pa.array(anchor), batch.column(0).take(pa.array(of, pa.int64()))]
             columns += [pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "doc_id", "first", "n"])
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "first", "n"])
 
     rows = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"anchor long, segment long, doc_id {kind.simpleString()}, first int, n int")
+    return rows.mapInArrow(run, f"anchor long, doc_id {kind.simpleString()}, first int, n int")
+
+
+def named(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (anchor, doc_id, first, n) with segment, a hash of the segment's bytes; a document's rows meet its text."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    parts = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            lists, names = batch.column(1), []
+            flat = lists.flatten()
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            anchor, first, n = (flat.field(j) for j in range(3))
+            bodies = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
+            for row, a, k in zip(of.tolist(), first.to_pylist(), n.to_pylist()):
+                names.append(xxh64_intdigest(bodies[row][a : a + k + WINDOW - 1]))
+            columns = [anchor, pa.array(np.array(names, np.uint64).view(np.int64)), batch.column(0).take(pa.array(of, pa.int64())), first, n]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "doc_id", "first", "n"])
+
+    joined = parts.join(texts, "doc_id").select("doc_id", "parts", "text")
+    return joined.mapInArrow(run, f"anchor long, segment long, doc_id {kind}, first int, n int")
+
+
+def joined_up(texts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, sizes, first symbols) of texts one after the other: bytes count from 1, and a 0 ends each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(kind) + kind(1)
+    symbols[base + sizes] = 0
+    return symbols, sizes, base
 
 
 def promising(texts: list[bytes], probe: int = PROBE) -> list[tuple[int, int, int]]:
@@ -183,15 +210,13 @@ def promising(texts: list[bytes], probe: int = PROBE) -> list[tuple[int, int, in
 
     A window that is found again passes, whatever the hashes; what a hash lets through by mistake, the suffix array parts.
     """
-    sizes = np.array([len(t) for t in texts])
-    h = np.concatenate([np.r_[np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1), 0] for t in texts]).astype(np.uint64)
+    h, sizes, base = joined_up(texts, np.uint64)
     n, s = len(h), 1
     while s < probe:
         h = (h[:-s] * np.uint64(0x9E3779B97F4A7C15 + 2 * s)) + h[s:]
         h ^= h >> np.uint64(31)
         s *= 2
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     twice = np.zeros(n, bool)
@@ -211,10 +236,22 @@ def earlier_windows(segments: list[bytes], ids: list) -> list[list[tuple[int, in
     parts = promising(segments)
     if not parts:
         return out
-    texts = [segments[k][a : b + WINDOW - 1] for k, a, b in parts]
-    symbols = np.concatenate([np.r_[np.frombuffer(t, np.uint8).astype(np.int16) + 1, 0] for t in texts])
-    sizes = np.array([len(t) for t in texts])
-    base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    ranks = {x: r for r, x in enumerate(sorted(set(ids)))}
+    # of equal parts the one with the smallest id stands for all: what it starts is early for each of the others
+    stands: dict[bytes, int] = {}
+    bodies = [segments[k][a : b + WINDOW - 1] for k, a, b in parts]
+    for m, body in enumerate(bodies):
+        if body not in stands or ranks[ids[parts[m][0]]] < ranks[ids[parts[stands[body]][0]]]:
+            stands[body] = m
+    for (k, a, b), body in zip(parts, bodies):
+        if ids[k] != ids[parts[stands[body]][0]]:
+            out[k].append((a, b))
+    places: dict[bytes, list[tuple[int, int, int]]] = {}
+    for part, body in zip(parts, bodies):
+        if ids[part[0]] == ids[parts[stands[body]][0]]:
+            places.setdefault(body, []).append(part)
+    texts = list(stands)
+    symbols, sizes, base = joined_up(texts, np.int16)
     order = np.array(suffix_array(symbols.tolist()), np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     whole = order + WINDOW <= (base + sizes)[owner[order]]
@@ -224,8 +261,7 @@ def earlier_windows(segments: list[bytes], ids: list) -> list[list[tuple[int, in
         if k % 8 == 0 and not same.any():
             break
         same &= symbols[order[1:] + k] == symbols[order[:-1] + k]
-    ranks = {x: r for r, x in enumerate(sorted(set(ids)))}
-    rank = np.array([ranks[ids[k]] for k, _, _ in parts])
+    rank = np.array([ranks[ids[parts[m][0]]] for m in stands.values()])
     first = np.flatnonzero(np.r_[True, ~same])
     mine = rank[owner[order]]
     least = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.r_[first, len(order)]))
@@ -233,8 +269,9 @@ def earlier_windows(segments: list[bytes], ids: list) -> list[list[tuple[int, in
     early[order[least < mine]] = True
     edges = np.flatnonzero(np.diff(np.r_[False, early, False]))
     for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
-        of, start, _ = parts[owner[a]]
-        out[of].append((a - int(base[owner[a]]) + start, b - int(base[owner[a]]) + start))
+        shift = int(base[owner[a]])
+        for k, start, _ in places[texts[owner[a]]]:
+            out[k].append((a - shift + start, b - shift + start))
     return out
 
 
@@ -269,13 +306,16 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     all_rows = occurrences(docs)
     shared = all_rows.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select("anchor")
-    found = written(all_rows.join(shared, "anchor"), "occurrences")
+    met = written(all_rows.join(shared, "anchor"), "met")
+    freed(spark)
+    texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
+    found = written(named(met, texts), "occurrences")
+    dropped(met)
     freed(spark)
     source = F.min(F.struct("doc_id", "first", "n")).alias("s")
     stands = written(found.groupBy("anchor", "segment").agg(source).select("anchor", "segment", "s.*"), "segments")
     several = stands.groupBy("anchor").count().filter("count > 1").select("anchor")
     wanted = stands.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "first", "n")).alias("parts"))
-    texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
