@@ -11,7 +11,9 @@ an empty table gives an empty result and no sequences; only the id and the text
 
 from __future__ import annotations
 
+import json
 import string
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,8 +27,12 @@ from .common import shuffle_width, written
 
 SIZE = 2048
 END = np.zeros(1, "<u4").tobytes()
-#: Words whose ids a worker remembers at most; it starts anew beyond that.
+#: Words, and stems without case and marks, whose ids a worker remembers at most; it starts anew beyond that.
 REMEMBERED = 400_000
+STEMS = 1_000_000
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write each byte as a letter: itself where it prints, else from code point 256 on.
+_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
@@ -37,16 +43,26 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [s["type"] for s in (steps["normalizer"] or {}).get("normalizers", ())], [
+            s["type"] for s in (steps["pre_tokenizer"] or {}).get("pretokenizers", ())
+        ]
+        #: Then a run of lower-case letters goes through the steps before the model as it is, but for its bytes' letters.
+        self.direct = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not steps["post_processor"]
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def encoded(self, text: str) -> bytes:
+        if self.direct and text.isalpha() and text == text.lower() == unicodedata.normalize("NFC", text):
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))
+            return np.array([t.id for t in tokens], "<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def stem(self, text: str) -> bytes:
         ids = self.stems.get(text)
         if ids is None:
-            if len(self.stems) > REMEMBERED:
+            if len(self.stems) > STEMS:
                 self.stems.clear()
             ids = self.stems[text] = self.encoded(text)
         return ids
@@ -63,20 +79,19 @@ class WordTokens:
 
     def ids(self, text: bytes) -> bytes:
         words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
+        out = list(map(known.get, words))
+        if None in out:
             if len(known) > REMEMBERED:
                 known.clear()
-            out = []
-            for w in words:
-                ids = known.get(w)
+            for k in [k for k, ids in enumerate(out) if ids is None]:
+                word = words[k]
+                ids = known.get(word)
                 if ids is None:
-                    ids = self.word(w)
-                    if len(w) < 60:
-                        known[w] = ids
-                out.append(ids)
-            return b"".join(out)
+                    ids = self.word(word)
+                    if len(word) < 60:
+                        known[word] = ids
+                out[k] = ids
+        return b"".join(out)
 
 
 _LOADED: dict[str, WordTokens] = {}
