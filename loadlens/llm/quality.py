@@ -28,7 +28,7 @@ WIDTH = 8
 EPOCHS = 6
 RATE = 0.5
 #: Labelled documents used for training at most.
-SAMPLE = 6_000
+SAMPLE = 4_000
 REMEMBERED = 400_000
 REPEATED = 0
 _MODEL: list = [None, {}]
@@ -44,20 +44,21 @@ def word_features(word: bytes) -> list[int]:
     return out
 
 
-def features(text: bytes, seen: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, seen: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, shares) of a document; the shares add up to 1."""
     words = text.split()
-    counts: Counter[int] = Counter()
+    parts, times = [np.zeros(1, np.int32)], [sum(map(eq, words, words[1:]))]
     for w, n in Counter(words).items():
         if w not in seen:
-            seen[w] = word_features(w)
-        for b in seen[w]:
-            counts[b] += n
-    if same := sum(map(eq, words, words[1:])):
-        counts[REPEATED] += same
-    keys = np.fromiter(counts.keys(), np.int64, len(counts))
-    values = np.fromiter(counts.values(), np.float64, len(counts))
-    return keys, values / max(1.0, values.sum())
+            if len(seen) > REMEMBERED // 4:
+                seen.clear()
+            seen[w] = np.array(word_features(w), np.int32)
+        parts.append(seen[w])
+        times.append(n)
+    keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+    count = np.bincount(back, np.repeat(times, [len(p) for p in parts]), len(keys))
+    keys, count = keys[count > 0], count[count > 0]
+    return keys, (count / max(1.0, count.sum())).astype(np.float32)
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -68,7 +69,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.nda
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = rng.uniform(-0.1, 0.1, (2, WIDTH)), np.log([1 - share, share])
-    seen: dict[bytes, list[int]] = {}
+    seen: dict[bytes, np.ndarray] = {}
     rows = [features(t, seen) for t in texts]
     del seen
     steps, step = EPOCHS * len(rows), 0
