@@ -29,7 +29,8 @@ EPOCHS = 6
 RATE = 0.5
 #: Labelled documents used for training at most.
 SAMPLE = 4_000
-REMEMBERED = 400_000
+#: Words whose sums a worker remembers at most; it starts anew beyond that.
+REMEMBERED = 1_000_000
 REPEATED = 0
 _MODEL: list = [None, {}]
 
@@ -50,7 +51,7 @@ def features(text: bytes, seen: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np
     parts, times = [np.zeros(1, np.int32)], [sum(map(eq, words, words[1:]))]
     for w, n in Counter(words).items():
         if w not in seen:
-            if len(seen) > REMEMBERED // 4:
+            if len(seen) > REMEMBERED // 10:
                 seen.clear()
             seen[w] = np.array(word_features(w), np.int32)
         parts.append(seen[w])
@@ -94,21 +95,20 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.nda
 
 def score(text: bytes, weight: np.ndarray, bias: float, seen: dict[bytes, complex]) -> float:
     words = text.split()
-    total = 0j
-    try:
-        total += sum([seen[w] for w in words])
-    except KeyError:
+    pairs = list(map(seen.get, words))
+    if None in pairs:
         if len(seen) > REMEMBERED:
             seen.clear()
-        total = 0j
-        for w in words:
-            pair = seen.get(w)
+        for k in [k for k, pair in enumerate(pairs) if pair is None]:
+            word = words[k]
+            pair = seen.get(word)
             if pair is None:
-                own = word_features(w)
+                own = word_features(word)
                 pair = complex(float(weight[own].sum()), len(own))
-                if len(w) < 60:
-                    seen[w] = pair
-            total += pair
+                if len(word) < 60:
+                    seen[word] = pair
+            pairs[k] = pair
+    total = sum(pairs, 0j)
     same = sum(map(eq, words, words[1:]))
     z = bias + (total.real + same * float(weight[REPEATED])) / max(1.0, total.imag + same)
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
