@@ -1,9 +1,10 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
 Texts and items are compared as lower-case (A-Z) words joined by single spaces. Windows of an item's size start where a
-run of SEED words of the text is one of the item's. The CGK random walk maps windows and items to strings whose Hamming
+run of SEED words of the text is one of the item's, or where one of the pieces of an item recurs: an item is cut into one
+piece more than the edits allowed, so a passage within the distance always holds one of them unchanged. The CGK random walk maps windows and items to strings whose Hamming
 distance follows the edit distance; repeated bit-sampling LSH over them gives the candidates, with as many tables as a
-simulation needs for the target recall at the largest distance; an exact semi-global edit distance decides.
+simulation needs for the mean recall of its pairs at the largest distance; an exact semi-global edit distance decides.
 
 Documents are only mapped: the benchmark is small, travels with the tasks and is split into blocks beyond BLOCK_BYTES.
 
@@ -26,9 +27,10 @@ SEED = 3
 DISTANCE = 0.1
 RECALL = 0.98
 SAMPLED = 6
-WALKS = 4
+WALKS = 16
 MOST_TABLES = 4096
 BLOCK_BYTES = 8 << 20
+GRAM = 4
 #: The walk's sampled steps lie within this many times the item's length (it advances every other step).
 STEPS = 1.8
 
@@ -51,6 +53,14 @@ def embed(rows: np.ndarray, walk: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def rolled(text: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n successive bytes."""
+    code = np.zeros(max(0, len(text) - n + 1), np.uint64)
+    for k in range(n if len(code) else 0):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + text[k : k + len(code)]
+    return code ^ (code >> np.uint64(32))
+
+
 def edit_within(item: str, text: str) -> int:
     """The least edit distance between item and any substring of text (Myers' bit vectors)."""
     if item in text:
@@ -98,6 +108,14 @@ class Items:
         self.walks = rng.integers(0, 2, (WALKS, int(STEPS * longest) + 2, 256)).astype(np.int8)
         self.draws = rng.random((MOST_TABLES, SAMPLED))
         self.tables = self._tables(rng, recall)
+        self.pieces = self._pieces()
+        self.grams = []
+        for text in self.texts:
+            chars = text.decode(errors="replace")
+            widest, edits = max(len(c.encode()) for c in chars), int(self.distance * len(chars))
+            codes = np.unique(rolled(np.frombuffer(text, np.uint8), GRAM))
+            # an edit spoils GRAM grams, of wide characters more; it moves the rest by the width of a character at most
+            self.grams.append((codes, len(text) - GRAM + 1 - edits * (GRAM + widest - 1), 4 * edits + 1))
         self.signs = self.sign(self.texts, self.sizes)
 
     def _code(self, codes: list[int]) -> int:
@@ -107,9 +125,12 @@ class Items:
         return out
 
     def _tables(self, rng: np.random.Generator, recall: float) -> int:
-        """Tables for the recall at the largest distance, by simulated edits of the items (64 of them at most)."""
-        hits = []
-        for k in rng.permutation(len(self.texts))[:64]:
+        """Tables for the mean recall at the largest distance, by simulated edits of the items (256 of them at most)."""
+        chosen = rng.permutation(len(self.texts))[:256].tolist()
+        if not chosen:
+            return WALKS
+        rows = np.zeros((2, len(chosen), int(self.sizes[chosen].max())), np.uint8)
+        for r, k in enumerate(chosen):
             text = self.texts[k]
             changed = bytearray(text)
             for _ in range(int(self.distance * len(text))):
@@ -120,13 +141,37 @@ class Items:
                     changed[min(at, len(changed) - 1)] = int(rng.integers(97, 123))
                 else:
                     del changed[min(at, len(changed) - 1)]
-            pair = np.zeros((2, len(text)), np.uint8)
-            for row, own in zip(pair, (text, bytes(changed[: len(text)]))):
+            for row, own in zip(rows[:, r], (text, bytes(changed[: len(text)]))):
                 row[: len(own)] = np.frombuffer(own, np.uint8)
-            steps = int(STEPS * len(text)) + 1
-            hits += [float((e[0] == e[1]).mean()) for e in (embed(pair, w[:steps]) for w in self.walks)]
-        p = float(np.mean(np.array(hits or [1.0]) ** SAMPLED))
-        return int(np.clip(np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999))), WALKS, MOST_TABLES))
+        steps = (STEPS * self.sizes[chosen]).astype(np.int64) + 1
+        missed = np.zeros(len(chosen))  # log of the chance that a table of every walk misses the pair
+        for walk in self.walks:
+            equal = embed(rows[0], walk[: int(steps.max())]) == embed(rows[1], walk[: int(steps.max())])
+            hit = (equal & (np.arange(equal.shape[1]) < steps[:, None])).sum(axis=1) / steps
+            missed += np.log1p(-np.minimum(hit**SAMPLED, 1 - 1e-9)) / WALKS
+        tables = WALKS
+        while tables < MOST_TABLES and float(np.mean(-np.expm1(tables * missed))) < recall:
+            tables += WALKS
+        return tables
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length in bytes (sorted hashes, items, first bytes) of the items' pieces, one more than their edits."""
+        found: dict[int, list[tuple[bytes, int, int]]] = {}
+        for i, text in enumerate(self.texts):
+            chars = text.decode(errors="replace")
+            n = int(self.distance * len(chars)) + 1
+            cuts = [len(chars) * k // n for k in range(n + 1)]
+            at = 0
+            for a, b in zip(cuts, cuts[1:]):
+                piece = chars[a:b].encode()
+                found.setdefault(len(piece), []).append((piece, i, at))
+                at += len(piece)
+        out = {}
+        for n, pieces in found.items():
+            key = rolled(np.frombuffer(b"".join(x for x, _, _ in pieces), np.uint8), n)[::n]
+            order = np.argsort(key, kind="stable")
+            out[n] = key[order], np.array([i for _, i, _ in pieces])[order], np.array([o for _, _, o in pieces])[order]
+        return out
 
     def sign(self, strings: list[bytes], sizes: np.ndarray) -> np.ndarray:
         """LSH keys (string, table) of strings cut or zero-filled to the sizes; zeros past an end walk in place."""
@@ -172,17 +217,50 @@ class Items:
                     found.update((item, s) for s in (p - k - 1, p - k, p - k + 1))
         return found
 
+    def plausible(self, grams: np.ndarray, item: int, at: int) -> bool:
+        """Whether enough of the item's GRAMs lie where it may begin near byte at; no passage within the distance has fewer."""
+        codes, least, room = self.grams[item]
+        if least <= 0:
+            return True
+        near = grams[max(0, at - room) : at + int(self.sizes[item]) + room]
+        return int((codes[np.minimum(np.searchsorted(codes, near), len(codes) - 1)] == near).sum()) >= least
+
+    def by_pieces(self, whole: bytes, starts: np.ndarray) -> set[tuple[int, int]]:
+        """(item, first word) of the windows near the places where an item may begin that has a piece in the text."""
+        text, found = np.frombuffer(whole, np.uint8), set()
+        grams = None
+        for n, (keys, items, offsets) in self.pieces.items():
+            if len(text) < n:
+                continue
+            code = rolled(text, n)
+            low = np.searchsorted(keys, code)
+            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == code)
+            low = low[hit]
+            many = np.searchsorted(keys, code[hit], "right") - low
+            which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            item, at = items[which], np.repeat(hit, many) - offsets[which]
+            if grams is None:
+                grams = rolled(text, GRAM)
+            able = [self.plausible(grams, i, a) for i, a in zip(item.tolist(), at.tolist())]
+            item, at = item[able], at[able]
+            room = (self.distance * self.sizes[item]).astype(np.int64) + 1
+            first = np.maximum(np.searchsorted(starts, at - room) - 1, 0)
+            last = np.searchsorted(starts, at + room, "right")
+            for step in range(int((last - first).max(initial=0))):
+                on = first + step < last
+                found.update(zip(item[on].tolist(), (first[on] + step).tolist()))
+        return found
+
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(text, item, distance) of the items that each of the texts holds within the distance."""
         asked: dict[tuple[int, int, bytes, int], None] = {}
         for row, text in enumerate(texts):
-            words = normal(text)
-            found = self.windows(words)
-            if not found:
+            if not (words := normal(text)):
                 continue
             size = np.fromiter(map(len, words), np.int64, len(words))
             starts = np.r_[0, np.cumsum(size + 1)]
             whole = b" ".join(words)
+            found = {(i, min(max(k, 0), len(words) - 1)) for i, k in self.windows(words) | self.by_pieces(whole, starts[:-1])}
             for item, s in sorted(found):
                 n = int(self.sizes[item])
                 at = int(starts[min(max(s, 0), len(words) - 1)])

@@ -66,3 +66,29 @@ def test_short_items_and_empty_tables(spark):
     assert dec.contaminated(docs, bench.limit(0)).collect() == []
     assert dec.contaminated(docs.limit(0), bench).collect() == []
     assert dec.decontaminated(docs, bench.limit(0)).count() == 2
+
+
+def test_mean_recall_by_rate_of_edits():
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, rng.randint(15, 40))) for _ in range(60)]
+    items = dec.Items([(k, t.encode()) for k, t in enumerate(texts)])
+    for rate in (0.06, 0.08, 0.095):
+        held = [f"{' '.join(words(rng, 20))} {changed(rng, t, int(rate * len(t)))} {' '.join(words(rng, 20))}" for t in texts]
+        near = [k for k, t in enumerate(held) if dec.edit_within(texts[k], t) <= 0.1 * len(texts[k])]
+        found = {(r, i) for r, i, _ in items.matches([t.encode() for t in held])}
+        assert sum((k, k) in found for k in near) >= 0.95 * len(near), rate
+
+
+def test_items_without_three_words_in_a_row():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(4, 9))) for _ in range(24)) for _ in range(40)]
+    items = dec.Items([(k, t.encode()) for k, t in enumerate(texts)])
+    held = []
+    for t in texts:
+        own = t.split()
+        for j in range(0, 24, 3):
+            own[j] = own[j][:2] + "q" + own[j][3:]
+        held.append(f"{' '.join(words(rng, 20))} {' '.join(own)} {' '.join(words(rng, 20))}")
+    assert all(not any(i == k for i, _ in items.windows(t.encode().split())) for k, t in enumerate(held))
+    found = {(r, i) for r, i, _ in items.matches([t.encode() for t in held])}
+    assert sum((k, k) in found for k in range(40)) >= 39
