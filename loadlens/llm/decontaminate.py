@@ -55,10 +55,19 @@ def embed(rows: np.ndarray, walk: np.ndarray) -> np.ndarray:
 
 def rolled(text: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n successive bytes."""
-    code = np.zeros(max(0, len(text) - n + 1), np.uint64)
-    for k in range(n if len(code) else 0):
-        code = code * np.uint64(0x9E3779B97F4A7C15) + text[k : k + len(code)]
-    return code ^ (code >> np.uint64(32))
+    return next(c for _, c in rolled_by(text, [n]))
+
+
+def rolled_by(text: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, a hash of every n successive bytes) for rising sizes n."""
+    text = text.astype(np.uint64)
+    code, at = np.zeros(len(text), np.uint64), 0
+    for n in sizes:
+        code = code[: max(0, len(text) - n + 1)]
+        for k in range(at, n if len(code) else at):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + text[k : k + len(code)]
+        at = n
+        yield n, code ^ (code >> np.uint64(32))
 
 
 def edit_within(item: str, text: str) -> int:
@@ -154,8 +163,8 @@ class Items:
             tables += WALKS
         return tables
 
-    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length in bytes (sorted hashes, items, first bytes) of the items' pieces, one more than their edits."""
+    def _pieces(self) -> dict[int, tuple[np.ndarray, ...]]:
+        """For each length in bytes (sorted hashes, items, first bytes, the hashes' first 20 bits) of the items' pieces, one more than their edits."""
         found: dict[int, list[tuple[bytes, int, int]]] = {}
         for i, text in enumerate(self.texts):
             chars = text.decode(errors="replace")
@@ -167,10 +176,12 @@ class Items:
                 found.setdefault(len(piece), []).append((piece, i, at))
                 at += len(piece)
         out = {}
-        for n, pieces in found.items():
+        for n, pieces in sorted(found.items()):
             key = rolled(np.frombuffer(b"".join(x for x, _, _ in pieces), np.uint8), n)[::n]
             order = np.argsort(key, kind="stable")
-            out[n] = key[order], np.array([i for _, i, _ in pieces])[order], np.array([o for _, _, o in pieces])[order]
+            some = np.zeros(1 << 20, bool)
+            some[key >> np.uint64(44)] = True
+            out[n] = key[order], np.array([i for _, i, _ in pieces])[order], np.array([o for _, _, o in pieces])[order], some
         return out
 
     def sign(self, strings: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -229,13 +240,14 @@ class Items:
         """(item, first word) of the windows near the places where an item may begin that has a piece in the text."""
         text, found = np.frombuffer(whole, np.uint8), set()
         grams = None
-        for n, (keys, items, offsets) in self.pieces.items():
-            if len(text) < n:
+        for n, code in rolled_by(text, list(self.pieces)):
+            keys, items, offsets, some = self.pieces[n]
+            hit = np.flatnonzero(some[code >> np.uint64(44)])
+            low = np.searchsorted(keys, code[hit])
+            same = keys[np.minimum(low, len(keys) - 1)] == code[hit]
+            hit, low = hit[same], low[same]
+            if not len(hit):
                 continue
-            code = rolled(text, n)
-            low = np.searchsorted(keys, code)
-            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == code)
-            low = low[hit]
             many = np.searchsorted(keys, code[hit], "right") - low
             which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             item, at = items[which], np.repeat(hit, many) - offsets[which]
