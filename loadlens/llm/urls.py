@@ -2,8 +2,8 @@
 
 Variable-order Markov models of the characters of host and path, one of the URLs that rules allow and one of those they
 block, smoothed by interpolating each order with the next shorter one (Witten-Bell). Counts come from all URLs with a
-rule's verdict but a held-out fifth, and are kept by hashed context, so a model has at most CONTEXTS * 256 counts
-whatever the corpus. The threshold on the log-likelihood difference per character is calibrated on the held-out fifth.
+rule's verdict but a held-out fifth, and are kept under 54 bits of a hash of the context, so contexts stay apart and a model grows with the contexts the
+corpus has; it is collected and sent to the tasks. The threshold on the log-likelihood difference per character is calibrated on the held-out fifth.
 
 Defined cases: a null URL or one without "://" has an empty host and path, fits no rule and scores 0; repeated rows are
 judged one by one; without any URL of a class its model is uniform; an empty table gives an empty result.
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
-CONTEXTS = 1 << 16
 BINS = 400
 SPREAD = 4.0
 #: (rule, verdict): a host with all its subdomains, then how the path begins.
@@ -61,29 +60,31 @@ def coded(urls: list[bytes], order: int = ORDER) -> tuple[np.ndarray, list[np.nd
     for k in range(order + 1):
         if k:
             context = (context ^ (text[at - k] + np.uint64(1))) * np.uint64(1099511628211)
-        bucket = ((context ^ (context >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-        codes.append((bucket % np.uint64(CONTEXTS) * np.uint64(256) + text[at]).astype(np.int64))
+        bucket = ((context ^ (context >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(10)
+        codes.append((bucket * np.uint64(256) + text[at]).astype(np.int64))
     return row, codes
 
 
 class Markov:
-    """Interpolated probabilities from counts of codes (all orders share the hashed table; order 0 has its own bucket)."""
+    """Interpolated probabilities from counts of codes (all orders share the table)."""
 
     def __init__(self, code: np.ndarray, count: np.ndarray):
         order = np.argsort(code)
         self.code, self.count = code[order], count[order].astype(float)
-        context = self.code // 256
-        self.total = np.bincount(context, self.count, CONTEXTS)
-        self.kinds = np.bincount(context, minlength=CONTEXTS).astype(float)
+        self.context, of, kinds = np.unique(self.code // 256, return_inverse=True, return_counts=True)
+        self.total = np.bincount(of, self.count, len(self.context))
+        self.kinds = kinds.astype(float)
 
     def log_likelihood(self, codes: list[np.ndarray]) -> np.ndarray:
         p = np.full(len(codes[0]), 1 / 256)
         for code in codes:
-            c = np.zeros(len(code))
-            if len(self.code):
-                at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-                c = np.where(self.code[at] == code, self.count[at], 0.0)
-            total, kinds = self.total[code // 256], self.kinds[code // 256]
+            if not len(self.code):
+                break
+            at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+            c = np.where(self.code[at] == code, self.count[at], 0.0)
+            at = np.minimum(np.searchsorted(self.context, code // 256), len(self.context) - 1)
+            known = self.context[at] == code // 256
+            total, kinds = np.where(known, self.total[at], 0.0), np.where(known, self.kinds[at], 0.0)
             p = np.where(total > 0, (c + kinds * p) / np.maximum(total + kinds, 1), p)
         return np.log(p)
 
@@ -99,12 +100,12 @@ def counted(known: DataFrame) -> list[Markov]:
         for batch in batches:
             row, codes = coded(_urls(batch, 0, 1))
             good = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            key, n = np.unique(np.concatenate([good[row] * (CONTEXTS * 256) + c for c in codes]), return_counts=True)
+            key, n = np.unique(np.concatenate([good[row] << 62 | c for c in codes]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    table = known.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # bounded
+    table = known.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = (table.column(c).to_numpy() for c in ("key", "n"))
-    return [Markov(key[key // (CONTEXTS * 256) == k] % (CONTEXTS * 256), n[key // (CONTEXTS * 256) == k]) for k in (0, 1)]
+    return [Markov(key[key >> 62 == k] & ((1 << 62) - 1), n[key >> 62 == k]) for k in (0, 1)]
 
 
 def scored(rows: DataFrame, models: list[Markov]) -> DataFrame:

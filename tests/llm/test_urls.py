@@ -72,3 +72,13 @@ def test_model_tells_hosts_apart(spark):
     rows += [(1000, "http://good3.example.info/fr/"), (1001, "http://spam3.example.info/fr/")]
     got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1000] == "allow" and got[1001] == "block"
+
+
+def test_contexts_stay_apart_however_many_there_are():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnop", k=40)).encode() for _ in range(8000)]
+    _, codes = urls.coded(texts)
+    for k in range(urls.ORDER + 1):
+        padded = [bytes(k) + t for t in texts]
+        assert len(np.unique(codes[k] // 256)) == len({p[i : i + k] for p in padded for i in range(len(p) - k)})
+    assert len(np.unique(np.concatenate(codes) // 256)) > 1 << 17
