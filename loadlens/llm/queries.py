@@ -9,7 +9,7 @@ from .packing import op10_best_fit_packing
 from .pii import op9_weak_pii
 from .quality import op2_subword_quality
 from .simhash import op7_simhash_bk
-from .suffix_dedup import op3_suffix_array
+from .suffix_dedup import OP3_SQL, op3_suffix_array
 from .tool_calls import OP1_SQL, op1_tool_calls
 from .urls import op8_url_language_model
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_weak_pii": op9_weak_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE = {"op1_tool_calls": OP1_SQL, "op6_line_rules": OP6_SQL}
+ORACLE = {"op1_tool_calls": OP1_SQL, "op3_suffix_array": OP3_SQL, "op6_line_rules": OP6_SQL}

@@ -4,16 +4,19 @@ The strings are compared through suffix arrays built in linear passes over Lyndo
 symbol, groups are taken in descending order, and each member extends the prefix of its previous smaller suffix, which
 moves that one up within its group; when all groups are done, suffixes with equal Lyndon prefixes stand together, and
 the array is emitted group by group, each suffix when the one behind its Lyndon prefix has been. Nothing is renamed or
-sorted again.
+sorted again. Many texts are taken through these passes side by side, each its own highest group at a time.
 
 To spread the work, every 50-byte window is dealt to the smallest hash of its 16-byte strings (its anchor): equal
-windows have equal anchors, and windows that follow one another with one anchor form a segment. Anchors in one document
-only can't matter. Of equal segments one stands for all, so a passage in a third of all documents is combined on the map
-side; the distinct segments of an anchor go through a suffix array together, less the parts that hold a short string found only
-once among them, and each occurrence takes over what its segment learned.
+windows have equal anchors, and windows that follow one another with one anchor form a segment. Anchors that no other
+document holds can't matter and are found by ``exchange``; of an anchor that very many chunks hold the windows are dealt
+again, by the smallest hash of their 32-byte strings. A chunk sends each distinct segment once, with the first and the
+last of its documents; all segments of an anchor make one text with one suffix array, and neighbours in it that agree
+for 50 bytes make a class, whose earliest document decides: a window goes from every later one. Hashes only deal work
+out; equality is the suffix array's alone.
 
 Defined cases: a null text counts as empty; texts shorter than a window lose nothing; a row with a null doc_id is
-earlier or later than none and is kept whole; rows that repeat a doc_id are one document; an empty table gives an empty
+earlier or later than none and is kept whole; rows that repeat a doc_id are judged one by one, each by its own text,
+against the texts of all rows with a smaller doc_id; long texts are hashed piece by piece; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -26,15 +29,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import dropped, freed, written
+from .common import written
+from .exchange import COMMON, Distinct, by_part, chunked, dealt, marked, part_edges, parts_for, ranked, shared, slices
 
 WINDOW = 50
 ANCHOR = 16
-#: Bytes of segments that are compared at once, about; what of them is promising goes into one suffix array.
-BLOCK = 300_000
-#: Length of the strings that a window's parts are looked for by first (a power of two).
-PROBE = 32
+#: Of windows whose anchor is common.
+WIDE_ANCHOR = 32
+#: Symbols that go through suffix arrays at once, about, and how many texts make that worth while.
+BLOCK = 2_000_000
+SIDE_BY_SIDE = 24
+#: Windows that are hashed at once.
+PIECE = 1 << 20
+#: Strings of twice the length are hashed from two halves, each time with another odd factor.
+FACTORS = ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9), (8, 0xD6E8FEB86659FD93), (16, 0xA0761D6478BD642F))
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
@@ -134,247 +144,405 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def segments(text: bytes, window: int = WINDOW, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of the runs of windows with one anchor."""
-    n = len(text) - window + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    for s, c in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9), (8, 0xD6E8FEB86659FD93)):
-        h = h[:-s] * np.uint64(c) + h[s:]
-        h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    left, s = window - width + 1, 1
-    while 2 * s <= left:
-        h = np.minimum(h[:-s], h[s:])
-        s *= 2
-    if left > s:
-        h = np.minimum(h[: s - left], h[left - s :])
-    cut = np.flatnonzero(h[1:] != h[:-1]) + 1
-    first = np.r_[0, cut]
-    return h[first].view(np.int64), first, np.diff(np.r_[first, n])
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, first, n): the segments of all texts."""
-    kind = docs.schema["doc_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [segments(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
-            of = np.repeat(np.arange(len(found)), [len(a) for a, _, _ in found])
-            anchor, first, n = (np.concatenate([x[j] for x in found] or [np.empty(0, np.int64)]) for j in range(3))
-            columns = [pa.array(anchor), batch.column(0).take(pa.array(of, pa.int64()))]
-            columns += [pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "first", "n"])
-
-    rows = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"anchor long, doc_id {kind.simpleString()}, first int, n int")
+def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``lyndon_groups`` of many texts laid end to end: each step takes every text's highest group that is left."""
+    n = len(symbols)
+    begin = np.cumsum(sizes) - sizes
+    key = np.repeat(np.arange(len(sizes)) << 16, sizes) + symbols
+    array = np.argsort(key, kind="stable")
+    key = key[array]
+    place = np.empty(n, np.int64)
+    place[array] = np.arange(n)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    width = np.diff(np.r_[first, n])
+    size = np.zeros(n, np.int64)
+    size[first] = width
+    group = np.empty(n, np.int64)
+    group[array] = np.repeat(first, width)
+    length, smaller, slot = np.ones(n, np.int64), np.full(n, -1, np.int64), np.empty(n, np.int64)
+    lifted, starts = np.zeros(n, bool), np.zeros(n, bool)
+    starts[begin] = True
+    low, end = begin, begin + sizes
+    while len(end):
+        top = array[end - 1]
+        here = group[top]
+        many, step = end - here, length[top]
+        alone = many.max() == 1
+        members, floor = top, here
+        if not alone:
+            members = array[np.repeat(here - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            floor, step = np.repeat(here, many), np.repeat(step, many)
+        j = members - 1
+        j[starts[members]] = -1
+        go = np.flatnonzero(j >= 0)
+        go = go[group[j[go]] > floor[go]]
+        while len(go):
+            j[go] = smaller[j[go]]
+            go = go[j[go] >= 0]
+            go = go[group[j[go]] > floor[go]]
+        if not alone:
+            near = np.flatnonzero(j >= 0)
+            near = near[group[j[near]] == floor[near]]
+            if len(near):  # another member stands before: what is smaller than that one, by doubling
+                slot[members] = np.arange(len(members))
+                jump = np.arange(len(members))
+                jump[near] = slot[j[near]]
+                while not np.array_equal(jump, further := jump[jump]):
+                    jump = further
+                j = j[jump]
+        smaller[members] = j
+        on = j >= 0
+        up, step = j[on], step[on]
+        if alone:
+            times = np.ones(len(up), np.int64)
+        else:
+            order = np.argsort(up, kind="stable")
+            up, step = up[order], step[order]
+            each = np.flatnonzero(np.r_[True, up[1:] != up[:-1]]) if len(up) else order
+            times = np.diff(np.r_[each, len(up)])
+            up, step = up[each], step[each]
+        length[up] += times * step
+        old = group[up]
+        parted = size[old] > 1
+        up, old, times = up[parted], old[parted], times[parted]
+        if alone and len(up):
+            last = old + size[old] - 1
+            other, at = array[last], place[up]
+            array[at], array[last] = other, up
+            place[other], place[up] = at, last
+            size[old] -= 1
+            size[last] = 1
+            group[up] = last
+        elif len(up):
+            # what is extended more often stands higher among what is lifted from one group
+            order = np.argsort(old * (n + 1) + times, kind="stable")
+            up, old, times = up[order], old[order], times[order]
+            edge = np.r_[True, old[1:] != old[:-1]]
+            each = np.flatnonzero(edge)
+            taken = np.diff(np.r_[each, len(up)])
+            left = size[old[each]] - taken
+            tail = np.repeat(old[each] + left, taken)
+            to, at = tail + np.arange(len(up)) - np.repeat(each, taken), place[up]
+            lifted[up] = True
+            stay = array[to]
+            stay = stay[~lifted[stay]]
+            lifted[up] = False
+            holes = at[at < tail]
+            array[holes], place[stay] = stay, holes
+            array[to], place[up] = up, to
+            cut = np.flatnonzero(edge | np.r_[True, times[1:] != times[:-1]])
+            width = np.diff(np.r_[cut, len(up)])
+            size[old[each]] = left
+            size[to[cut]] = width
+            group[up] = np.repeat(to[cut], width)
+        end = here
+        more = end > low
+        if not more.all():
+            low, end = low[more], end[more]
+    return group, length
 
 
-def named(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows (anchor, doc_id, first, n) with segment, a hash of the segment's bytes; a document's rows meet its text."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("parts"))
+def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The suffix arrays of texts laid end to end, as places in the whole; one suffix of each text is emitted a step."""
+    n, number = len(symbols), np.arange(len(sizes))
+    group, length = lyndon_groups_of_many(symbols, sizes)
+    # texts are set one apart, so that the end of one isn't the start of the next
+    ends = np.arange(n) + length + np.repeat(number, sizes)
+    by_end = np.argsort(ends, kind="stable")
+    count = np.bincount(ends, minlength=n + len(sizes) + 1)
+    first = np.cumsum(count) - count
+    out, free = np.empty(n, np.int64), np.arange(n)
+    stop = np.cumsum(sizes)
+    at, behind = stop - sizes, stop
+    while len(at):
+        behind = behind + number
+        many = count[behind]
+        if many.max() <= 1:
+            here = by_end[first[behind[many == 1]]]
+        else:
+            here = by_end[np.repeat(first[behind] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        own = group[here]
+        out[free[own]] = here
+        free[own] += 1
+        more = at < stop
+        if not more.all():
+            at, stop, number = at[more], stop[more], number[more]
+        behind = out[at]
+        at = at + 1
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
 
+def anchors(text: bytes, window: int = WINDOW, width: int = ANCHOR) -> Iterator[np.ndarray]:
+    """The anchor of every window, PIECE windows at a time."""
+    for start in range(0, len(text) - window + 1, PIECE):
+        h = np.frombuffer(text[start : start + PIECE + window - 1], np.uint8).astype(np.uint64) + np.uint64(1)
+        for s, factor in FACTORS[: width.bit_length() - 1]:
+            h = h[:-s] * np.uint64(factor) + h[s:]
+            h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        left, s = window - width + 1, 1
+        while 2 * s <= left:
+            h = np.minimum(h[:-s], h[s:])
+            s *= 2
+        if left > s:
+            h = np.minimum(h[: s - left], h[left - s :])
+        yield h
+
+
+def runs_of(pieces: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first, count) of the runs of equal values in all pieces."""
+    values, firsts, n = [], [], 0
+    for h in pieces:
+        cut = np.flatnonzero(np.r_[not values or values[-1][-1] != h[0], h[1:] != h[:-1]])
+        if len(cut):
+            values.append(h[cut])
+            firsts.append(cut + n)
+        n += len(h)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.concatenate(firsts)
+    return np.concatenate(values), first, np.diff(np.r_[first, n])
+
+
+def segments(texts: list[bytes], width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, row, first window, windows) of the runs of windows with one anchor, in all texts."""
+    found = [runs_of(anchors(text, width=width)) for text in texts]
+    of = np.repeat(np.arange(len(found)), [len(a) for a, _, _ in found])
+    anchor, first, n = (np.concatenate([x[j] for x in found]) if found else np.empty(0, t) for j, t in enumerate((np.uint64, np.int64, np.int64)))
+    return anchor, of, first, n
+
+
+def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return segments(texts)[:2]
+
+
+class Pieces:
+    """The distinct segments of a chunk that other documents may hold, by rising anchor, and where they occur."""
+
+    def __init__(self, texts: list[bytes], rank: np.ndarray, masks: list[dict], parts: int):
+        anchor, row, first, n = segments(texts)
+        own = Distinct(anchor, row)
+        here, common = marked(own, masks, parts)
+        here, common = here[own.of] & (rank[row] >= 0), common[own.of]
+        if (here & common).any():
+            anchor, row, first, n = self._dealt_again(texts, anchor, row, first, n, here, common)
+        else:
+            anchor, row, first, n = anchor[here], row[here], first[here], n[here]
+        order = np.argsort(anchor, kind="stable")
+        self.row, self.first = row[order], first[order]
+        known: dict[tuple[int, bytes], int] = {}
+        bodies = [texts[r][a : a + k + WINDOW - 1] for r, a, k in zip(self.row.tolist(), self.first.tolist(), n[order].tolist())]
+        of = np.array([known.setdefault(x, len(known)) for x in zip(anchor[order].tolist(), bodies)], np.int64)
+        self.key = np.fromiter((k for k, _ in known), np.uint64, len(known))
+        self.body = [b for _, b in known]
+        order = np.argsort(of, kind="stable")
+        self.row, self.first = self.row[order], self.first[order]
+        self.at = np.searchsorted(of[order], np.arange(len(known) + 1))
+        mine = rank[self.row]
+        self.least = np.minimum.reduceat(mine, self.at[:-1]) if len(known) else mine
+        self.most = np.maximum.reduceat(mine, self.at[:-1]) if len(known) else mine
+
+    @staticmethod
+    def _dealt_again(texts, anchor, row, first, n, here, common):
+        """Windows with common anchors get the wider ones; a run ends where either kind does."""
+        again = []
+        for r in np.unique(row[here & common]).tolist():
+            own = (row == r) & here & common
+            hot = np.zeros(int((first + n)[row == r].max()), bool)
+            for a, k in zip(first[own].tolist(), n[own].tolist()):
+                hot[a : a + k] = True
+            wide, start, count = runs_of(anchors(texts[r], width=WIDE_ANCHOR))
+            edge = np.unique(np.r_[start, np.flatnonzero(np.diff(np.r_[False, hot, False]))])
+            edge = edge[edge < len(hot)]
+            keep = hot[edge]
+            size = np.diff(np.r_[edge, len(hot)])[keep]
+            again.append((wide[np.searchsorted(start, edge, "right") - 1][keep], np.full(len(size), r), edge[keep], size))
+        plain = here & ~common
+        return tuple(np.concatenate([x[plain], *(y[j] for y in again)]) for j, x in enumerate((anchor, row, first, n)))
+
+
+def earliest(key: np.ndarray, bodies: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, a, b, earliest document) of the runs of windows of segments (key, body, first document).
+
+    Segments with one key are compared with each other, equal ones as one text."""
+    order = np.argsort(key, kind="stable")
+    known: dict[tuple[int, bytes], int] = {}
+    of = np.empty(len(key), np.int64)
+    of[order] = [known.setdefault((k, bodies[i]), len(known)) for k, i in zip(key[order].tolist(), order.tolist())]
+    first = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(first, of, least)
+    texts = [b for _, b in known]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    keys = np.fromiter((k for k, _ in known), np.uint64, len(known))
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    whole = np.add.reduceat(sizes + 1, at)
+    members = np.diff(np.r_[at, len(texts)])
+    by_size = np.argsort(whole, kind="stable")
+    made, held, room = [], [], 0
+    for k in by_size.tolist():
+        held.append(k)
+        room += int(whole[k])
+        if room >= BLOCK:
+            made.append(_classes(held, at, members, whole, texts, sizes, first))
+            held, room = [], 0
+    if held:
+        made.append(_classes(held, at, members, whole, texts, sizes, first))
+    text, a, b, early = (np.concatenate([m[j] for m in made]) for j in range(4))
+    order = np.argsort(text, kind="stable")
+    text, a, b, early = text[order], a[order], b[order], early[order]
+    low = np.searchsorted(text, of)
+    many = np.searchsorted(text, of, "right") - low
+    run = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return np.repeat(np.arange(len(of)), many), a[run], b[run], early[run]
+
+
+def _classes(held, at, members, whole, texts, sizes, first):
+    """(text, a, b, earliest document) for the texts of the groups held, each group by one suffix array."""
+    many = members[held]
+    which = np.repeat(at[held] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    raw = np.frombuffer(b"\0".join([texts[i] for i in which.tolist()]) + b"\0" + bytes(8), np.uint8)
+    size = sizes[which]
+    n = int(size.sum()) + len(which)
+    begin = np.cumsum(size + 1) - size - 1
+    symbols = raw[:n].astype(np.int64) + 1
+    symbols[begin + size] = 0
+    total = whole[held]
+    if len(held) >= SIDE_BY_SIDE:
+        order = suffix_arrays(symbols, total)
+    else:
+        start = np.cumsum(total) - total
+        order = np.concatenate([np.array(suffix_array(symbols[s : s + k].tolist()), np.int64) + s for s, k in zip(start.tolist(), total.tolist())])
+    own = np.repeat(np.arange(len(which)), size + 1)
+    group = np.repeat(np.arange(len(held)), many)
+    order = order[order + WINDOW <= (begin + size)[own[order]]]
+    words = np.ndarray((n,), "<u8", raw, strides=(1,))
+    same = np.flatnonzero(group[own[order[1:]]] == group[own[order[:-1]]])
+    for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+        same = same[words[order[same + 1] + k] == words[order[same] + k]]
+    new = np.ones(len(order), bool)
+    new[same + 1] = False
+    cut = np.flatnonzero(new)
+    least = np.minimum.reduceat(first[which][own[order]], cut)
+    early = np.full(n + 1, -1)
+    early[order] = np.repeat(least, np.diff(np.r_[cut, len(order)]))
+    edge = np.flatnonzero(early[1:] != early[:-1]) + 1
+    a = np.r_[0, edge]
+    b = np.r_[edge, n]
+    value = early[a]
+    a, b, value = a[value >= 0], b[value >= 0], value[value >= 0]
+    return which[own[a]], a - begin[own[a]], b - begin[own[a]], value
+
+
+def learned(chunks: DataFrame, masks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, runs array<struct<part, piece, a, b, early>>): windows of a chunk's segments that an earlier document starts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, names = batch.column(1), []
-            flat = lists.flatten()
-            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            anchor, first, n = (flat.field(j) for j in range(3))
-            bodies = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
-            for row, a, k in zip(of.tolist(), first.to_pylist(), n.to_pylist()):
-                names.append(xxh64_intdigest(bodies[row][a : a + k + WINDOW - 1]))
-            columns = [anchor, pa.array(np.array(names, np.uint64).view(np.int64)), batch.column(0).take(pa.array(of, pa.int64())), first, n]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "doc_id", "first", "n"])
-
-    joined = parts.join(texts, "doc_id").select("doc_id", "parts", "text")
-    return joined.mapInArrow(run, f"anchor long, segment long, doc_id {kind}, first int, n int")
-
-
-def joined_up(texts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, sizes, first symbols) of texts one after the other: bytes count from 1, and a 0 ends each text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(kind) + kind(1)
-    symbols[base + sizes] = 0
-    return symbols, sizes, base
-
-
-def promising(texts: list[bytes], probe: int = PROBE) -> list[tuple[int, int, int]]:
-    """(segment, first, end) of the runs of windows all of whose probe-byte strings occur twice in the texts.
-
-    A window that is found again passes, whatever the hashes; what a hash lets through by mistake, the suffix array parts.
-    """
-    h, sizes, base = joined_up(texts, np.uint64)
-    n, s = len(h), 1
-    while s < probe:
-        h = (h[:-s] * np.uint64(0x9E3779B97F4A7C15 + 2 * s)) + h[s:]
-        h ^= h >> np.uint64(31)
-        s *= 2
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    twice = np.zeros(n, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    missing = np.r_[0, np.cumsum(~twice)]
-    span = WINDOW - probe + 1
-    at = np.arange(max(0, n - WINDOW + 1))
-    good = (at + WINDOW <= (base + sizes)[owner[at]]) & (missing[at + span] == missing[at])
-    edges = np.flatnonzero(np.diff(np.r_[False, good, False]))
-    return [(int(owner[a]), int(a - base[owner[a]]), int(b - base[owner[a]])) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist())]
-
-
-def earlier_windows(segments: list[bytes], ids: list) -> list[list[tuple[int, int]]]:
-    """For each segment the runs of windows that also start in a segment with a smaller id, by one suffix array."""
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    parts = promising(segments)
-    if not parts:
+            for k, (chunk, texts, mask) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                (rank,), values = ranked(batch.column(1)[k].values)
+                own = Pieces(texts, rank, mask, parts)
+                edges = part_edges(own.key, parts)
+                some = np.flatnonzero(np.diff(edges))
+                cuts = np.r_[edges[some], len(own.key)]
+                size = np.fromiter(map(len, own.body), np.int32, len(own.body))
+                ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
+                columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk, np.int64))]
+                columns += [slices(own.key, cuts, 8), slices(size, cuts, 4), slices(np.frombuffer(b"".join(own.body), np.uint8), ends[cuts])]
+                offsets = pa.array(cuts.astype(np.int32))
+                columns += [pa.ListArray.from_arrays(offsets, values.take(pa.array(x))) for x in (own.least, own.most)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "key", "size", "body", "least", "most"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in by_part(batches):
+            key = np.frombuffer(b"".join(x[2] for x in held), np.uint64)
+            bodies = []
+            for _, _, _, size, body, _, _ in held:
+                at = 0
+                for n in np.frombuffer(size, np.int32).tolist():
+                    bodies.append(body[at : at + n])
+                    at += n
+            (least, most), values = ranked(*(pa.array([x for row in held for x in row[k]], ids) for k in (5, 6)))
+            piece, a, b, early = earliest(key, bodies, least)
+            late = early < most[piece]
+            piece, a, b, early = piece[late], a[late], b[late], early[late]
+            cuts = np.searchsorted(piece, np.r_[0, np.cumsum([len(x[2]) // 8 for x in held])])
+            some = np.flatnonzero(np.diff(cuts))
+            start = np.r_[0, np.cumsum([len(x[2]) // 8 for x in held])]
+            piece = piece - np.repeat(start[:-1], np.diff(cuts))
+            edges = np.r_[cuts[some], cuts[-1]]
+            columns = [pa.array([held[k][1] for k in some.tolist()], pa.int64()), pa.array(np.full(len(some), part, np.int32))]
+            columns += [slices(x.astype(np.int32), edges, 4) for x in (piece, a, b)]
+            columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values.take(pa.array(early))))
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "piece", "a", "b", "early"])
+
+    kind = chunks.schema["ids"].dataType.elementType.simpleString()
+    ids = to_arrow_type(chunks.schema["ids"].dataType.elementType)
+    rows = chunks.join(masks, "chunk").select("chunk", "ids", "texts", "masks")
+    sent = rows.mapInArrow(send, f"part int, chunk long, key binary, size binary, body binary, least array<{kind}>, most array<{kind}>")
+    found = dealt(sent, parts).mapInArrow(compare, f"chunk long, part int, piece binary, a binary, b binary, early array<{kind}>")
+    return written(found.groupBy("chunk").agg(F.collect_list(F.struct("part", "piece", "a", "b", "early")).alias("runs")), "runs")
+
+
+def spans_of(texts: list[bytes], ids: pa.Array, masks: list[dict], runs: list[dict], parts: int) -> list[list[tuple[int, int]]]:
+    """For each text of a chunk the byte ranges to remove, unsorted."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if not runs:
         return out
-    ranks = {x: r for r, x in enumerate(sorted(set(ids)))}
-    # of equal parts the one with the smallest id stands for all: what it starts is early for each of the others
-    stands: dict[bytes, int] = {}
-    bodies = [segments[k][a : b + WINDOW - 1] for k, a, b in parts]
-    for m, body in enumerate(bodies):
-        if body not in stands or ranks[ids[parts[m][0]]] < ranks[ids[parts[stands[body]][0]]]:
-            stands[body] = m
-    for (k, a, b), body in zip(parts, bodies):
-        if ids[k] != ids[parts[stands[body]][0]]:
-            out[k].append((a, b))
-    places: dict[bytes, list[tuple[int, int, int]]] = {}
-    for part, body in zip(parts, bodies):
-        if ids[part[0]] == ids[parts[stands[body]][0]]:
-            places.setdefault(body, []).append(part)
-    texts = list(stands)
-    symbols, sizes, base = joined_up(texts, np.int16)
-    order = np.array(suffix_array(symbols.tolist()), np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    whole = order + WINDOW <= (base + sizes)[owner[order]]
-    order = order[whole]
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in range(WINDOW):
-        if k % 8 == 0 and not same.any():
-            break
-        same &= symbols[order[1:] + k] == symbols[order[:-1] + k]
-    rank = np.array([ranks[ids[parts[m][0]]] for m in stands.values()])
-    first = np.flatnonzero(np.r_[True, ~same])
-    mine = rank[owner[order]]
-    least = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.r_[first, len(order)]))
-    early = np.zeros(len(symbols), bool)
-    early[order[least < mine]] = True
-    edges = np.flatnonzero(np.diff(np.r_[False, early, False]))
-    for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
-        shift = int(base[owner[a]])
-        for k, start, _ in places[texts[owner[a]]]:
-            out[k].append((a - shift + start, b - shift + start))
+    early = pa.array([x for r in runs for x in r["early"]], ids.type)
+    (rank, early), _ = ranked(ids, early)
+    own = Pieces(texts, rank, masks, parts)
+    edges = part_edges(own.key, parts)
+    piece, a, b = (np.concatenate([np.frombuffer(r[c], np.int32) for r in runs]).astype(np.int64) for c in ("piece", "a", "b"))
+    piece += np.repeat([edges[r["part"]] for r in runs], [len(r["early"]) for r in runs])
+    many = own.at[piece + 1] - own.at[piece]
+    run = np.repeat(np.arange(len(piece)), many)
+    place = np.repeat(own.at[piece] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    row, first = own.row[place], own.first[place]
+    late = early[run] < rank[row]
+    row, first, run = row[late], first[late], run[late]
+    for r, x, y in zip(row.tolist(), (first + a[run]).tolist(), (first + b[run] + WINDOW - 1).tolist()):
+        out[r].append((x, y))
     return out
 
 
-def learned(rows: DataFrame) -> DataFrame:
-    """(anchor, segment, runs) of (anchor, segment, doc_id, body): the windows of segments seen in an earlier document."""
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    item = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal runs removed)."""
+    kept, removed, count, stop = [], 0, 0, -1
+    end = 0
+    for a, b in sorted(spans):
+        if a > stop:
+            count += 1
+            kept.append(text[end:a])
+            removed += b - a
+        elif b > stop:
+            removed += b - stop
+        end = stop = max(stop, b)
+    return b"".join([*kept, text[end:]]), removed, count
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(held: list[tuple]) -> pa.RecordBatch:
-            runs = earlier_windows([x[3] for x in held], [x[2] for x in held])
-            kept = [(x[0], x[1], [{"a": a, "b": b} for a, b in r]) for x, r in zip(held, runs) if r]
-            columns = [pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2] for x in kept], item)]
-            return pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "runs"])
 
-        held, size = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BLOCK and held[-1][0] != row[0]:
-                    yield told(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield told(held)
-
-    return rows.mapInArrow(run, "anchor long, segment long, runs array<struct<a:int,b:int>>")
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<a,b>>): unsorted runs of windows to remove, for documents that have any."""
-    spark = docs.sparkSession
-    all_rows = occurrences(docs)
-    shared = all_rows.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select("anchor")
-    met = written(all_rows.join(shared, "anchor"), "met")
-    freed(spark)
-    texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
-    found = written(named(met, texts), "occurrences")
-    dropped(met)
-    freed(spark)
-    source = F.min(F.struct("doc_id", "first", "n")).alias("s")
-    stands = written(found.groupBy("anchor", "segment").agg(source).select("anchor", "segment", "s.*"), "segments")
-    several = stands.groupBy("anchor").count().filter("count > 1").select("anchor")
-    wanted = stands.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "first", "n")).alias("parts"))
+def deduplicated(docs: DataFrame, with_text: bool = False, common: int = COMMON) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors, names, of, bodies = [], [], [], []
-            for row, (parts, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                text = value.as_buffer().to_pybytes() if value.is_valid else b""
-                for p in parts:
-                    anchors.append(p["anchor"])
-                    names.append(p["segment"])
-                    of.append(row)
-                    bodies.append(text[p["first"] : p["first"] + p["n"] + WINDOW - 1])
-            columns = [pa.array(anchors, pa.int64()), pa.array(names, pa.int64()), batch.column(0).take(pa.array(of, pa.int64())), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "doc_id", "body"])
-
-    bodies = wanted.join(texts, "doc_id").select("doc_id", "parts", "text")
-    runs = written(learned(bodies.mapInArrow(cut, f"anchor long, segment long, doc_id {kind}, body binary")), "runs")
-    freed(spark)
-    known = stands.select("anchor", "segment", F.col("doc_id").alias("least")).join(runs, ["anchor", "segment"], "left")
-    marks = found.join(known, ["anchor", "segment"])
-    own = F.transform(
-        F.coalesce("runs", F.array().cast("array<struct<a:int,b:int>>")),
-        lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")),
-    )
-    all_of = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b")))
-    marks = marks.select("doc_id", F.when(F.col("doc_id") > F.col("least"), all_of).otherwise(own).alias("r")).filter("size(r) > 0")
-    out = written(marks.groupBy("doc_id").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
-    dropped(found)
-    freed(spark)
-    return out
-
-
-def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(spans(docs), "doc_id", "left").select("doc_id", "text", "spans")
+    chunks = chunked(docs)
+    parts = parts_for(chunks)
+    masks = shared(chunks, _keys, parts, common)
+    runs = learned(chunks, masks, parts)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for value, runs in zip(batch.column(1), batch.column(2).to_pylist()):
-                text = value.as_buffer().to_pybytes() if value.is_valid else b""
-                kept, end, removed, count = [], 0, 0, 0
-                stop = -1
-                for a, b in sorted((r["a"], r["b"] + WINDOW - 1) for r in runs or ()):
-                    b = min(b, len(text))
-                    if a > stop:
-                        count += 1
-                        kept.append(text[end:a])
-                        removed += b - a
-                    elif b > stop:
-                        removed += b - stop
-                    end = stop = max(stop, b)
-                kept = b"".join([*kept, text[end:]])
-                made.append((len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept))
-            columns = [batch.column(0), *(pa.array([m[j] for m in made], pa.int64()) for j in range(3)), pa.array([m[3] for m in made], pa.string())]
-            columns += [pa.array([m[4] for m in made], pa.binary())] * with_text
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
-
+            for k, (texts, mask, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                ids = batch.column(0)[k].values
+                made = []
+                for text, spans in zip(texts, spans_of(texts, ids, mask or [], found or [], parts)):
+                    kept, removed, count = without(text, spans)
+                    made.append((len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept))
+                columns = [ids, *(pa.array([m[j] for m in made], pa.int64()) for j in range(3)), pa.array([m[3] for m in made], pa.string())]
+                columns += [pa.array([m[4] for m in made], pa.binary())] * with_text
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = chunks.select("chunk", "ids", "texts").join(masks.join(runs, "chunk"), "chunk", "left").select("ids", "texts", "masks", "runs")
     made = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return rows.mapInArrow(run, made)
 
@@ -383,3 +551,31 @@ def op3_suffix_array(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     return deduplicated(read(spark, sf_dir, "documents"))
+
+
+#: Bytes are pairs of hexadecimal digits here, as SQL has no substrings of binary values.
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT rid, doc_id, i, substring(h, 2 * i + 1, 100) AS s
+  FROM (SELECT rid, doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING count(*) > 1
+), r AS (
+  SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM w JOIN f USING (s) WHERE w.doc_id > f.first_id
+), g AS (
+  SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM r
+), runs AS (
+  SELECT rid, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY rid, run
+), e AS (
+  SELECT rid, a, b, lead(a) OVER (PARTITION BY rid ORDER BY a) AS next, row_number() OVER (PARTITION BY rid ORDER BY a) AS k FROM runs
+), parts AS (
+  SELECT rid, 0 AS k, substring(h, 1, 2 * a) AS p FROM e JOIN d USING (rid) WHERE e.k = 1
+  UNION ALL SELECT rid, k, substring(h, 2 * b + 1, 2 * (coalesce(next, length(h) // 2) - b)) FROM e JOIN d USING (rid)
+), kept AS (SELECT rid, string_agg(p, '' ORDER BY k) AS h FROM parts GROUP BY rid),
+n AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""

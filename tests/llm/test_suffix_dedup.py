@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -19,42 +21,101 @@ def test_suffix_array_of_periodic_and_random_texts():
         assert sd.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=25), min_size=1, max_size=8))
+def test_suffix_arrays_side_by_side(texts):
+    sizes = np.array([len(t) for t in texts])
+    got = sd.suffix_arrays(np.array([x for t in texts for x in t]), sizes)
+    start = 0
+    for t in texts:
+        assert (got[start : start + len(t)] - start).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        start += len(t)
+
+
+def test_suffix_arrays_of_long_and_periodic_texts():
+    rng = random.Random(3)
+    texts = [[1] * 300, [1, 2] * 150, [2, 1] * 170, [1, 1, 2] * 90 + [1], [rng.randrange(250) for _ in range(3000)], [rng.randrange(2) for _ in range(3000)]]
+    got = sd.suffix_arrays(np.array([x for t in texts for x in t]), np.array([len(t) for t in texts]))
+    assert got.tolist() == [i + s for t, s in zip(texts, np.cumsum([0] + [len(t) for t in texts])) for i in sd.suffix_array(t)]
+
+
 def brute(rows):
     first = {}
     for i, text in rows:
-        for p in range(len(text) - 49):
+        for p in range(len(text) - 49 if i is not None else 0):
             w = text[p : p + 50]
             first[w] = min(first.get(w, i), i)
-    out = {}
+    out = []
     for i, text in rows:
         gone = [False] * len(text)
         for p in range(len(text) - 49):
-            if first[text[p : p + 50]] < i:
+            if i is not None and first[text[p : p + 50]] < i:
                 gone[p : p + 50] = [True] * 50
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(c for c, g in zip(text, gone) if not g)
-        out[i] = (len(text), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((str(i), len(text), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
 
 
-def test_against_brute_force(spark):
-    rng = random.Random(6)
+def found(docs, **options):
+    return sorted((str(r.doc_id), *tuple(r)[1:]) for r in sd.deduplicated(docs, **options).collect())
+
+
+def texts_with_copies(seed):
+    rng = random.Random(seed)
     words = ["été", "alpha", "b", "gamma,", "delta\n", "x" * 30, "0"]
     pool = [" ".join(rng.choices(words, k=rng.randint(5, 60))) for _ in range(12)]
     texts = [None, "", "a" * 49, "a" * 50, "a" * 200, "ab" * 100, "x" + "a" * 60]
     for _ in range(70):
         parts = [rng.choice(pool) if rng.random() < 0.6 else " ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(rng.randint(1, 5))]
         texts.append("".join(p[rng.randint(0, 9) : len(p) - rng.randint(0, 9)] for p in parts))
-    texts += [texts[20]] * 3
+    return texts + [texts[20]] * 3
+
+
+@pytest.mark.parametrize("common", [2, 4096])
+def test_against_brute_force(spark, common):
+    """Also with every anchor of two chunks dealt out again by its wider ones."""
+    texts = texts_with_copies(6)
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, segment string")
-    got = {r.doc_id: tuple(r)[1:] for r in sd.deduplicated(docs).collect()}
-    assert got == brute([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    assert found(docs, common=common) == brute([(i, (t or "").encode()) for i, t in enumerate(texts)])
+
+
+def test_string_ids_and_ids_that_repeat(spark):
+    texts = texts_with_copies(7)
+    rows = [(f"k{i % 23:02d}", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert found(docs) == brute([(i, (t or "").encode()) for i, t in rows])
 
 
 def test_odd_rows(spark):
     text = "".join(chr(97 + k % 26) * (k % 5 + 1) for k in range(60))
-    docs = spark.createDataFrame([(None, text), (None, text), (2, text), (2, text), (7, text)], "doc_id long, text string")
-    got = sorted(((r.doc_id is None, r.doc_id, r.n_removed) for r in sd.deduplicated(docs).collect()), key=str)
-    assert [r[2] for r in got if r[0]] == [0, 0]
-    assert [r[1:] for r in got if not r[0]] == [(2, 0), (2, 0), (7, len(text))]
-    assert sd.deduplicated(docs.limit(0)).collect() == []
+    other = "".join(chr(97 + k * k % 23) for k in range(193))
+    rows = [(None, text), (None, text), (2, text), (2, text), (7, text), (7, other), (9, None), (9, other)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = found(docs)
+    assert got == brute([(i, (t or "").encode()) for i, t in rows])
+    assert [r[2] for r in got if r[0] == "7"] == [len(text), 0] and [r[2] for r in got if r[0] == "2"] == [0, 0]
+    assert found(docs.limit(0)) == []
+
+
+def test_unequal_texts_of_one_id_are_judged_apart(spark):
+    first, other = ("".join(chr(97 + (k * f) % 19) + str(k) for k in range(70)) for f in (3, 7))
+    for rows in ([(1, first), (2, first), (2, other)], [(1, first), (2, other), (2, first)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert found(docs) == brute([(i, t.encode()) for i, t in rows])
+
+
+def test_long_texts_are_hashed_piece_by_piece(monkeypatch):
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"ab c") for _ in range(3000))
+    whole = sd.segments([text, text[100:900]])
+    monkeypatch.setattr(sd, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(whole, sd.segments([text, text[100:900]])))
+
+
+def test_query_against_sql(spark, sf_small):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_small}/documents.parquet'")
+    want = sorted(db.execute(sd.OP3_SQL).fetchall())
+    assert sorted(map(tuple, sd.op3_suffix_array(spark, sf_small).collect())) == want
