@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(chunk, ids, texts, n_bytes): the rows of docs in chunks, as a written table; null texts are empty."""
+    """(chunk, ids, sizes, body, n_bytes): the rows of docs in chunks, as a written table; null texts are empty.
+
+    ``texts_of(sizes, body)`` are a chunk's texts; they are packed, so that a chunk travels small."""
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -41,22 +44,30 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+            size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            ends = np.cumsum(size)
             block = ends // CHUNK_BYTES
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            offsets = pa.array(np.r_[first, batch.num_rows].astype(np.int32))
-            sizes = np.diff(np.r_[0, ends[np.r_[first[1:], batch.num_rows] - 1]])
-            columns = [pa.array(number + np.arange(len(first))), *(pa.ListArray.from_arrays(offsets, batch.column(k)) for k in (0, 1)), pa.array(sizes)]
-            number += len(first)
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "texts", "n_bytes"])
-
-    made = f"chunk long, ids array<{kind}>, texts array<binary>, n_bytes long"
+            cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), batch.num_rows]
+            bodies = [press.compress(b"".join(batch.column(1).slice(a, b - a).to_pylist())) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+            columns = [pa.array(number + np.arange(len(bodies))), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), batch.column(0))]
+            columns += [slices(size, cuts, 8), pa.array(bodies, pa.binary()), pa.array(np.add.reduceat(size, cuts[:-1]))]
+            number += len(bodies)
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "body", "n_bytes"])
+
+    made = f"chunk long, ids array<{kind}>, sizes binary, body binary, n_bytes long"
     return written(rows.mapInArrow(run, made), "chunks", **LONG_ROWS)
 
 
+def texts_of(sizes: bytes, body: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(body)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def parts_for(chunks: DataFrame) -> int:
     """Parts of the key space: a few for each shuffle partition, more where they would grow too large."""
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -97,8 +108,8 @@ def shared(chunks: DataFrame, keys: Keys, parts: int, common: int = COMMON) -> D
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Distinct(*keys(texts))
+            for chunk, sizes, body in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Distinct(*keys(texts_of(sizes, body)))
                 packed = own.keys >> np.uint64(17) << np.uint64(1) | own.several.astype(np.uint64)
                 edges = part_edges(own.keys, parts)
                 some = np.flatnonzero(np.diff(edges))
@@ -131,7 +142,7 @@ def shared(chunks: DataFrame, keys: Keys, parts: int, common: int = COMMON) -> D
         for part, held in by_part(batches):
             yield answer(part, [(row[1], row[2]) for row in held])
 
-    sent = chunks.select("chunk", "texts").mapInArrow(send, "part int, chunk long, keys binary")
+    sent = chunks.select("chunk", "sizes", "body").mapInArrow(send, "part int, chunk long, keys binary")
     met = dealt(sent, parts).mapInArrow(meet, "chunk long, part int, shared binary, common binary")
     return written(met.groupBy("chunk").agg(F.collect_list(F.struct("part", "shared", "common")).alias("masks")), "masks")
 

@@ -27,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import written
-from .exchange import COMMON, Distinct, by_part, chunked, dealt, marked, part_edges, parts_for, ranked, shared, slices
+from .exchange import COMMON, Distinct, by_part, chunked, dealt, marked, part_edges, parts_for, ranked, shared, slices, texts_of
 
 WINDOW = 50
 ANCHOR = 16
 #: Of windows whose anchor is common.
 WIDE_ANCHOR = 32
 #: Symbols that go through suffix arrays at once, about, and how many texts make that worth while.
-BLOCK = 2_000_000
+BLOCK = 300_000
 SIDE_BY_SIDE = 24
 #: Windows that are hashed at once.
 PIECE = 1 << 20
@@ -145,11 +146,13 @@ def suffix_array(text: list[int]) -> list[int]:
 
 
 def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``lyndon_groups`` of many texts laid end to end: each step takes every text's highest group that is left."""
+    """``lyndon_groups`` of many texts laid end to end: each step takes every text's highest group that is left.
+
+    Symbols lie below 2^48; there may be 2^15 texts."""
     n = len(symbols)
     begin = np.cumsum(sizes) - sizes
-    key = np.repeat(np.arange(len(sizes)) << 16, sizes) + symbols
-    array = np.argsort(key, kind="stable")
+    key = np.repeat(np.arange(len(sizes)) << 48, sizes) | symbols
+    array = np.argsort(key)
     key = key[array]
     place = np.empty(n, np.int64)
     place[array] = np.arange(n)
@@ -196,7 +199,7 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
         if alone:
             times = np.ones(len(up), np.int64)
         else:
-            order = np.argsort(up, kind="stable")
+            order = np.argsort(up)
             up, step = up[order], step[order]
             each = np.flatnonzero(np.r_[True, up[1:] != up[:-1]]) if len(up) else order
             times = np.diff(np.r_[each, len(up)])
@@ -215,7 +218,7 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
             group[up] = last
         elif len(up):
             # what is extended more often stands higher among what is lifted from one group
-            order = np.argsort(old * (n + 1) + times, kind="stable")
+            order = np.argsort(old * (n + 1) + times)
             up, old, times = up[order], old[order], times[order]
             edge = np.r_[True, old[1:] != old[:-1]]
             each = np.flatnonzero(edge)
@@ -341,7 +344,6 @@ class Pieces:
         self.at = np.searchsorted(of[order], np.arange(len(known) + 1))
         mine = rank[self.row]
         self.least = np.minimum.reduceat(mine, self.at[:-1]) if len(known) else mine
-        self.most = np.maximum.reduceat(mine, self.at[:-1]) if len(known) else mine
 
     @staticmethod
     def _dealt_again(texts, anchor, row, first, n, here, common):
@@ -401,12 +403,12 @@ def _classes(held, at, members, whole, texts, sizes, first):
     """(text, a, b, earliest document) for the texts of the groups held, each group by one suffix array."""
     many = members[held]
     which = np.repeat(at[held] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    raw = np.frombuffer(b"\0".join([texts[i] for i in which.tolist()]) + b"\0" + bytes(8), np.uint8)
+    raw = np.frombuffer(b"\0".join([texts[i] for i in which.tolist()]) + bytes(9), np.uint8)
     size = sizes[which]
     n = int(size.sum()) + len(which)
     begin = np.cumsum(size + 1) - size - 1
-    symbols = raw[:n].astype(np.int64) + 1
-    symbols[begin + size] = 0
+    # a symbol is the next six bytes: the order of suffixes stays, and groups are small from the start
+    symbols = (np.ndarray((n,), ">u8", raw, strides=(1,)).astype(np.uint64) >> np.uint64(16)).astype(np.int64)
     total = whole[held]
     if len(held) >= SIDE_BY_SIDE:
         order = suffix_arrays(symbols, total)
@@ -435,36 +437,36 @@ def _classes(held, at, members, whole, texts, sizes, first):
 
 
 def learned(chunks: DataFrame, masks: DataFrame, parts: int) -> DataFrame:
-    """(chunk, runs array<struct<part, piece, a, b, early>>): windows of a chunk's segments that an earlier document starts."""
+    """(chunk, runs array<struct<part, piece, a, b, early>>): windows of a chunk's segments that a document earlier than the
+    chunk's own first one with that segment starts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for k, (chunk, texts, mask) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for k, (chunk, sizes, body, mask) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)))):
                 (rank,), values = ranked(batch.column(1)[k].values)
-                own = Pieces(texts, rank, mask, parts)
+                own = Pieces(texts_of(sizes, body), rank, mask, parts)
                 edges = part_edges(own.key, parts)
                 some = np.flatnonzero(np.diff(edges))
                 cuts = np.r_[edges[some], len(own.key)]
                 size = np.fromiter(map(len, own.body), np.int32, len(own.body))
-                ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
                 columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk, np.int64))]
-                columns += [slices(own.key, cuts, 8), slices(size, cuts, 4), slices(np.frombuffer(b"".join(own.body), np.uint8), ends[cuts])]
-                offsets = pa.array(cuts.astype(np.int32))
-                columns += [pa.ListArray.from_arrays(offsets, values.take(pa.array(x))) for x in (own.least, own.most)]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "key", "size", "body", "least", "most"])
+                columns += [slices(own.key, cuts, 8), slices(size, cuts, 4)]
+                columns.append(pa.array([press.compress(b"".join(own.body[x:y])) for x, y in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary()))
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values.take(pa.array(own.least))))
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "key", "size", "body", "least"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
         for part, held in by_part(batches):
             key = np.frombuffer(b"".join(x[2] for x in held), np.uint64)
             bodies = []
-            for _, _, _, size, body, _, _ in held:
-                at = 0
-                for n in np.frombuffer(size, np.int32).tolist():
-                    bodies.append(body[at : at + n])
-                    at += n
-            (least, most), values = ranked(*(pa.array([x for row in held for x in row[k]], ids) for k in (5, 6)))
+            for _, _, _, size, body, _ in held:
+                body, ends = unpress.decompress(body), np.cumsum(np.frombuffer(size, np.int32)).tolist()
+                bodies += [body[x:y] for x, y in zip([0, *ends], ends)]
+            (least,), values = ranked(pa.array([x for row in held for x in row[5]], ids))
             piece, a, b, early = earliest(key, bodies, least)
-            late = early < most[piece]
+            late = early < least[piece]  # else the chunk's own first document is the earliest
             piece, a, b, early = piece[late], a[late], b[late], early[late]
             cuts = np.searchsorted(piece, np.r_[0, np.cumsum([len(x[2]) // 8 for x in held])])
             some = np.flatnonzero(np.diff(cuts))
@@ -478,8 +480,8 @@ def learned(chunks: DataFrame, masks: DataFrame, parts: int) -> DataFrame:
 
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
     ids = to_arrow_type(chunks.schema["ids"].dataType.elementType)
-    rows = chunks.join(masks, "chunk").select("chunk", "ids", "texts", "masks")
-    sent = rows.mapInArrow(send, f"part int, chunk long, key binary, size binary, body binary, least array<{kind}>, most array<{kind}>")
+    rows = chunks.join(masks, "chunk").select("chunk", "ids", "sizes", "body", "masks")
+    sent = rows.mapInArrow(send, f"part int, chunk long, key binary, size binary, body binary, least array<{kind}>")
     found = dealt(sent, parts).mapInArrow(compare, f"chunk long, part int, piece binary, a binary, b binary, early array<{kind}>")
     return written(found.groupBy("chunk").agg(F.collect_list(F.struct("part", "piece", "a", "b", "early")).alias("runs")), "runs")
 
@@ -487,14 +489,16 @@ def learned(chunks: DataFrame, masks: DataFrame, parts: int) -> DataFrame:
 def spans_of(texts: list[bytes], ids: pa.Array, masks: list[dict], runs: list[dict], parts: int) -> list[list[tuple[int, int]]]:
     """For each text of a chunk the byte ranges to remove, unsorted."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not runs:
-        return out
     early = pa.array([x for r in runs for x in r["early"]], ids.type)
     (rank, early), _ = ranked(ids, early)
     own = Pieces(texts, rank, masks, parts)
     edges = part_edges(own.key, parts)
-    piece, a, b = (np.concatenate([np.frombuffer(r[c], np.int32) for r in runs]).astype(np.int64) for c in ("piece", "a", "b"))
-    piece += np.repeat([edges[r["part"]] for r in runs], [len(r["early"]) for r in runs])
+    piece, a, b = (np.concatenate([np.empty(0, np.int32), *(np.frombuffer(r[c], np.int32) for r in runs)]).astype(np.int64) for c in ("piece", "a", "b"))
+    piece += np.repeat(*(np.array([f(r) for r in runs], np.int64) for f in (lambda r: edges[r["part"]], lambda r: len(r["early"]))))
+    # where no earlier document is told, the segment's first one here is the earliest
+    size = np.fromiter(map(len, own.body), np.int64, len(own.body)) - WINDOW + 1
+    piece, a, b = np.r_[piece, np.arange(len(size))], np.r_[a, np.zeros(len(size), np.int64)], np.r_[b, size]
+    early = np.r_[early, own.least]
     many = own.at[piece + 1] - own.at[piece]
     run = np.repeat(np.arange(len(piece)), many)
     place = np.repeat(own.at[piece] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
@@ -532,9 +536,8 @@ def deduplicated(docs: DataFrame, with_text: bool = False, common: int = COMMON)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, (texts, mask, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                ids = batch.column(0)[k].values
-                made = []
+            for k, (sizes, body, mask, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)))):
+                ids, texts, made = batch.column(0)[k].values, texts_of(sizes, body), []
                 for text, spans in zip(texts, spans_of(texts, ids, mask or [], found or [], parts)):
                     kept, removed, count = without(text, spans)
                     made.append((len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept))
@@ -542,7 +545,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False, common: int = COMMON)
                 columns += [pa.array([m[4] for m in made], pa.binary())] * with_text
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = chunks.select("chunk", "ids", "texts").join(masks.join(runs, "chunk"), "chunk", "left").select("ids", "texts", "masks", "runs")
+    rows = chunks.join(masks, "chunk", "left").join(runs, "chunk", "left").select("ids", "sizes", "body", "masks", "runs")
     made = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return rows.mapInArrow(run, made)
 

@@ -96,6 +96,7 @@ def test_odd_rows(spark):
     assert got == brute([(i, (t or "").encode()) for i, t in rows])
     assert [r[2] for r in got if r[0] == "7"] == [len(text), 0] and [r[2] for r in got if r[0] == "2"] == [0, 0]
     assert found(docs.limit(0)) == []
+    assert found(docs.filter("doc_id = 9")) == brute([(9, b""), (9, other.encode())])
 
 
 def test_unequal_texts_of_one_id_are_judged_apart(spark):
