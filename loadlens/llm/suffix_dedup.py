@@ -23,6 +23,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,11 +49,15 @@ PIECE = 1 << 20
 FACTORS = ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9), (8, 0xD6E8FEB86659FD93), (16, 0xA0761D6478BD642F))
 
 
-def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
+def compact(numbers: np.ndarray) -> array:
+    return array("i", numbers.astype(np.int32).tobytes())
+
+
+def lyndon_groups(text: np.ndarray) -> tuple[array, array]:
     """(group, length) per suffix: groups ascend as the Lyndon prefixes do; length is that of the Lyndon prefix."""
     n = len(text)
     at = np.argsort(np.asarray(text), kind="stable")
-    array = at.tolist()
+    members_of = compact(at)
     place = np.empty(n, np.int64)
     place[at] = np.arange(n)
     symbols = np.asarray(text)[at]
@@ -60,10 +65,9 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
     width = np.diff(np.r_[first, n])
     start = np.empty(n, np.int64)
     start[at] = np.repeat(first, width)
-    size = [0] * n
-    for g, k in zip(first.tolist(), width.tolist()):
-        size[g] = k
-    group, pos, length, smaller = start.tolist(), place.tolist(), [1] * n, [-1] * n
+    sizes = np.zeros(n, np.int64)
+    sizes[first] = width
+    size, group, pos, length, smaller = map(compact, (sizes, start, place, np.ones(n), np.full(n, -1)))
 
     def lift(members: list[int], old: int) -> None:
         """Makes members of the old group a group of their own, right above what is left of it."""
@@ -73,8 +77,8 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
         new = end = old + k
         for i in members:
             new -= 1
-            a, other = pos[i], array[new]
-            array[a], array[new] = other, i
+            a, other = pos[i], members_of[new]
+            members_of[a], members_of[new] = other, i
             pos[other], pos[i] = a, new
         size[old], size[new] = k - len(members), end - new
         for i in members:
@@ -82,9 +86,9 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
 
     end = n
     while end:
-        here = group[array[end - 1]]
+        here = group[members_of[end - 1]]
         if end - here == 1:
-            i = array[here]
+            i = members_of[here]
             j = i - 1
             while j >= 0 and group[j] >= here:
                 j = smaller[j]
@@ -95,13 +99,13 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
                 k = size[old]
                 if k > 1:
                     last = old + k - 1
-                    a, other = pos[j], array[last]
-                    array[a], array[last] = other, j
+                    a, other = pos[j], members_of[last]
+                    members_of[a], members_of[last] = other, j
                     pos[other], pos[j] = a, last
                     size[old], size[last] = k - 1, 1
                     group[j] = last
         else:
-            members = sorted(array[here:end])
+            members = sorted(members_of[here:end])
             step = length[members[0]]
             times: dict[int, int] = {}
             for i in members:
@@ -121,15 +125,15 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
     return group, length
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def suffix_array(text: np.ndarray) -> array:
     """All suffixes in order; a suffix that is a prefix of another comes first."""
     n = len(text)
     group, length = lyndon_groups(text)
-    ends = np.arange(n) + np.array(length, np.int64)
+    ends = np.arange(n) + np.frombuffer(length, np.int32)
     by_end = np.argsort(ends, kind="stable")
-    from_end = np.searchsorted(ends[by_end], np.arange(n + 2)).tolist()
-    by_end = by_end.tolist()
-    out, free = [0] * n, list(range(n))
+    from_end = compact(np.searchsorted(ends[by_end], np.arange(n + 2)))
+    by_end = compact(by_end)
+    out, free = compact(np.zeros(n)), compact(np.arange(n))
     for i in by_end[from_end[n] :]:
         g = group[i]
         out[free[g]] = i
@@ -305,7 +309,9 @@ def runs_of(pieces: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.concatenate(firsts)
-    return np.concatenate(values), first, np.diff(np.r_[first, n])
+    # smallest hashes are small; mixed again they spread over all parts
+    value = np.concatenate(values) * np.uint64(0x94D049BB133111EB)
+    return (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15), first, np.diff(np.r_[first, n])
 
 
 def segments(texts: list[bytes], width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -414,7 +420,7 @@ def _classes(held, at, members, whole, texts, sizes, first):
         order = suffix_arrays(symbols, total)
     else:
         start = np.cumsum(total) - total
-        order = np.concatenate([np.array(suffix_array(symbols[s : s + k].tolist()), np.int64) + s for s, k in zip(start.tolist(), total.tolist())])
+        order = np.concatenate([np.frombuffer(suffix_array(symbols[s : s + k]), np.int32).astype(np.int64) + s for s, k in zip(start.tolist(), total.tolist())])
     own = np.repeat(np.arange(len(which)), size + 1)
     group = np.repeat(np.arange(len(held)), many)
     order = order[order + WINDOW <= (begin + size)[own[order]]]

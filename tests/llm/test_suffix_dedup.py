@@ -12,13 +12,13 @@ from loadlens.llm import suffix_dedup as sd
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40))
 def test_suffix_array(text):
-    assert sd.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+    assert sd.suffix_array(np.array(text, np.int64)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
 def test_suffix_array_of_periodic_and_random_texts():
     rng = random.Random(1)
     for text in ([1] * 300, [1, 2] * 150, [2, 1] * 150, [1, 1, 2] * 90 + [1], [rng.randrange(250) for _ in range(3000)], [rng.randrange(2) for _ in range(3000)]):
-        assert sd.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+        assert sd.suffix_array(np.array(text, np.int64)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
 @settings(max_examples=200, deadline=None)
@@ -36,7 +36,7 @@ def test_suffix_arrays_of_long_and_periodic_texts():
     rng = random.Random(3)
     texts = [[1] * 300, [1, 2] * 150, [2, 1] * 170, [1, 1, 2] * 90 + [1], [rng.randrange(250) for _ in range(3000)], [rng.randrange(2) for _ in range(3000)]]
     got = sd.suffix_arrays(np.array([x for t in texts for x in t]), np.array([len(t) for t in texts]))
-    assert got.tolist() == [i + s for t, s in zip(texts, np.cumsum([0] + [len(t) for t in texts])) for i in sd.suffix_array(t)]
+    assert got.tolist() == [i + s for t, s in zip(texts, np.cumsum([0] + [len(t) for t in texts])) for i in sd.suffix_array(np.array(t))]
 
 
 def brute(rows):
@@ -72,7 +72,7 @@ def texts_with_copies(seed):
     return texts + [texts[20]] * 3
 
 
-@pytest.mark.parametrize("common", [2, 4096])
+@pytest.mark.parametrize("common", [2, 256])
 def test_against_brute_force(spark, common):
     """Also with every anchor of two chunks dealt out again by its wider ones."""
     texts = texts_with_copies(6)
