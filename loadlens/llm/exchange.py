@@ -25,7 +25,7 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of texts whose keys meet in one part, about.
 PART_BYTES = 16 << 20
 #: A key is marked as common if this many chunks hold it.
-COMMON = 256
+COMMON = 4096
 #: Chunks are long rows: small row groups keep readers and writers small.
 LONG_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 

@@ -40,9 +40,12 @@ WINDOW = 50
 ANCHOR = 16
 #: Of windows whose anchor is common.
 WIDE_ANCHOR = 32
-#: Symbols that go through suffix arrays at once, about, and how many texts make that worth while.
-BLOCK = 300_000
+#: Symbols and texts that go through suffix arrays at once, about: that many of both, or MOST symbols.
+BLOCK, TEXTS, MOST = 300_000, 2_000, 1_000_000
+#: Fewer texts go one by one.
 SIDE_BY_SIDE = 24
+#: Symbols of one anchor's segments from which on their windows are dealt again.
+LONG = 200_000
 #: Windows that are hashed at once.
 PIECE = 1 << 20
 #: Strings of twice the length are hashed from two halves, each time with another odd factor.
@@ -149,6 +152,27 @@ def suffix_array(text: np.ndarray) -> array:
     return out
 
 
+def heads(x: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
+    out = np.empty(len(x), bool)
+    out[:1] = True
+    np.not_equal(x[1:], x[:-1], out[1:])
+    return out
+
+
+def widths(first: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out[:-1])
+    out[-1:] = n - first[-1:]
+    return out
+
+
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... many of them, for each."""
+    ends = many.cumsum()
+    return (first - ends + many).repeat(many) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``lyndon_groups`` of many texts laid end to end: each step takes every text's highest group that is left.
 
@@ -160,8 +184,8 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     key = key[array]
     place = np.empty(n, np.int64)
     place[array] = np.arange(n)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    width = np.diff(np.r_[first, n])
+    first = np.flatnonzero(heads(key))
+    width = widths(first, n)
     size = np.zeros(n, np.int64)
     size[first] = width
     group = np.empty(n, np.int64)
@@ -177,18 +201,18 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
         alone = many.max() == 1
         members, floor = top, here
         if not alone:
-            members = array[np.repeat(here - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-            floor, step = np.repeat(here, many), np.repeat(step, many)
+            members = array[spread(here, many)]
+            floor, step = here.repeat(many), step.repeat(many)
         j = members - 1
         j[starts[members]] = -1
-        go = np.flatnonzero(j >= 0)
+        go = (j >= 0).nonzero()[0]
         go = go[group[j[go]] > floor[go]]
         while len(go):
             j[go] = smaller[j[go]]
             go = go[j[go] >= 0]
             go = go[group[j[go]] > floor[go]]
         if not alone:
-            near = np.flatnonzero(j >= 0)
+            near = (j >= 0).nonzero()[0]
             near = near[group[j[near]] == floor[near]]
             if len(near):  # another member stands before: what is smaller than that one, by doubling
                 slot[members] = np.arange(len(members))
@@ -203,10 +227,10 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
         if alone:
             times = np.ones(len(up), np.int64)
         else:
-            order = np.argsort(up)
+            order = up.argsort()
             up, step = up[order], step[order]
-            each = np.flatnonzero(np.r_[True, up[1:] != up[:-1]]) if len(up) else order
-            times = np.diff(np.r_[each, len(up)])
+            each = heads(up).nonzero()[0]
+            times = widths(each, len(up))
             up, step = up[each], step[each]
         length[up] += times * step
         old = group[up]
@@ -222,14 +246,14 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
             group[up] = last
         elif len(up):
             # what is extended more often stands higher among what is lifted from one group
-            order = np.argsort(old * (n + 1) + times)
-            up, old, times = up[order], old[order], times[order]
-            edge = np.r_[True, old[1:] != old[:-1]]
-            each = np.flatnonzero(edge)
-            taken = np.diff(np.r_[each, len(up)])
+            rank = old * (n + 1) + times
+            order = rank.argsort()
+            up, old, rank = up[order], old[order], rank[order]
+            each = heads(old).nonzero()[0]
+            taken = widths(each, len(up))
             left = size[old[each]] - taken
-            tail = np.repeat(old[each] + left, taken)
-            to, at = tail + np.arange(len(up)) - np.repeat(each, taken), place[up]
+            tail = (old[each] + left).repeat(taken)
+            to, at = tail + np.arange(len(up)) - each.repeat(taken), place[up]
             lifted[up] = True
             stay = array[to]
             stay = stay[~lifted[stay]]
@@ -237,11 +261,11 @@ def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
             holes = at[at < tail]
             array[holes], place[stay] = stay, holes
             array[to], place[up] = up, to
-            cut = np.flatnonzero(edge | np.r_[True, times[1:] != times[:-1]])
-            width = np.diff(np.r_[cut, len(up)])
+            cut = heads(rank).nonzero()[0]
+            width = widths(cut, len(up))
             size[old[each]] = left
             size[to[cut]] = width
-            group[up] = np.repeat(to[cut], width)
+            group[up] = to[cut].repeat(width)
         end = here
         more = end > low
         if not more.all():
@@ -267,7 +291,7 @@ def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if many.max() <= 1:
             here = by_end[first[behind[many == 1]]]
         else:
-            here = by_end[np.repeat(first[behind] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            here = by_end[spread(first[behind], many)]
         own = group[here]
         out[free[own]] = here
         free[own] += 1
@@ -354,26 +378,40 @@ class Pieces:
     @staticmethod
     def _dealt_again(texts, anchor, row, first, n, here, common):
         """Windows with common anchors get the wider ones; a run ends where either kind does."""
-        again = []
-        for r in np.unique(row[here & common]).tolist():
-            own = (row == r) & here & common
-            hot = np.zeros(int((first + n)[row == r].max()), bool)
-            for a, k in zip(first[own].tolist(), n[own].tolist()):
-                hot[a : a + k] = True
-            wide, start, count = runs_of(anchors(texts[r], width=WIDE_ANCHOR))
-            edge = np.unique(np.r_[start, np.flatnonzero(np.diff(np.r_[False, hot, False]))])
-            edge = edge[edge < len(hot)]
+        again, taken = [], here & common
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        for r in np.unique(row[taken]).tolist():
+            mine = slice(cuts[r], cuts[r + 1])
+            hot = np.repeat(taken[mine], n[mine])
+            wide, start, _ = runs_of(anchors(texts[r], width=WIDE_ANCHOR))
+            edge = np.unique(np.r_[start, np.flatnonzero(hot[1:] != hot[:-1]) + 1])
             keep = hot[edge]
-            size = np.diff(np.r_[edge, len(hot)])[keep]
-            again.append((wide[np.searchsorted(start, edge, "right") - 1][keep], np.full(len(size), r), edge[keep], size))
+            again.append((wide[np.searchsorted(start, edge, "right") - 1][keep], np.full(int(keep.sum()), r), edge[keep], widths(edge, len(hot))[keep]))
         plain = here & ~common
         return tuple(np.concatenate([x[plain], *(y[j] for y in again)]) for j, x in enumerate((anchor, row, first, n)))
 
 
-def earliest(key: np.ndarray, bodies: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def finer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(wide anchor, text, first window, windows) of the runs of windows with one wide anchor."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    h = np.concatenate(list(anchors(b"".join(texts), width=WIDE_ANCHOR)))
+    of = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    inside = np.arange(len(h)) + WINDOW <= ends[of]
+    edge = np.flatnonzero(heads(h) | heads(of) | heads(inside))
+    n = widths(edge, len(h))
+    keep = inside[edge]
+    edge, n = edge[keep], n[keep]
+    return h[edge], of[edge], edge - (ends - sizes)[of[edge]], n
+
+
+def earliest(
+    key: np.ndarray, bodies: list[bytes], least: np.ndarray, times: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment, a, b, earliest document) of the runs of windows of segments (key, body, first document).
 
-    Segments with one key are compared with each other, equal ones as one text."""
+    Segments with one key are compared with each other, equal ones as one text; where these make a long text, their
+    windows are dealt again by wide anchors first (times then says how many segments stand behind each)."""
     order = np.argsort(key, kind="stable")
     known: dict[tuple[int, bytes], int] = {}
     of = np.empty(len(key), np.int64)
@@ -383,32 +421,47 @@ def earliest(key: np.ndarray, bodies: list[bytes], least: np.ndarray) -> tuple[n
     texts = [b for _, b in known]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     keys = np.fromiter((k for k, _ in known), np.uint64, len(known))
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    at = np.flatnonzero(heads(keys))
     whole = np.add.reduceat(sizes + 1, at)
-    members = np.diff(np.r_[at, len(texts)])
-    by_size = np.argsort(whole, kind="stable")
-    made, held, room = [], [], 0
-    for k in by_size.tolist():
+    members = widths(at, len(texts))
+    held, room, made = [], 0, [tuple(np.empty(0, np.int64) for _ in range(4))]
+    # a group of one segment has nothing to be compared with
+    number = np.bincount(of, times, len(texts)).astype(np.int64)
+    compared = np.flatnonzero(np.add.reduceat(number, at) > 1)
+    if times is None and (long := compared[whole[compared] > LONG]).size:
+        compared = compared[whole[compared] <= LONG]
+        which = spread(at[long], members[long])
+        wide, owner, start, n = finer([texts[i] for i in which.tolist()])
+        owner = which[owner]
+        parts = [texts[i][x : x + k + WINDOW - 1] for i, x, k in zip(owner.tolist(), start.tolist(), n.tolist())]
+        piece, a, b, early = earliest(wide ^ keys[owner], parts, first[owner], number[owner])
+        made.append((owner[piece], a + start[piece], b + start[piece], early))
+    for k in compared[np.argsort(whole[compared], kind="stable")].tolist():
         held.append(k)
         room += int(whole[k])
-        if room >= BLOCK:
+        if room >= MOST or (room >= BLOCK and len(held) >= TEXTS):
             made.append(_classes(held, at, members, whole, texts, sizes, first))
             held, room = [], 0
     if held:
         made.append(_classes(held, at, members, whole, texts, sizes, first))
     text, a, b, early = (np.concatenate([m[j] for m in made]) for j in range(4))
-    order = np.argsort(text, kind="stable")
+    order = np.lexsort((a, text))
     text, a, b, early = text[order], a[order], b[order], early[order]
+    if len(text):  # runs that go on make one
+        new = heads(text) | heads(early)
+        new[1:] |= a[1:] != b[:-1]
+        head = np.flatnonzero(new)
+        text, a, b, early = text[head], a[head], b[head - 1 + widths(head, len(b))], early[head]
     low = np.searchsorted(text, of)
     many = np.searchsorted(text, of, "right") - low
-    run = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    run = spread(low, many)
     return np.repeat(np.arange(len(of)), many), a[run], b[run], early[run]
 
 
 def _classes(held, at, members, whole, texts, sizes, first):
     """(text, a, b, earliest document) for the texts of the groups held, each group by one suffix array."""
     many = members[held]
-    which = np.repeat(at[held] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    which = spread(at[held], many)
     raw = np.frombuffer(b"\0".join([texts[i] for i in which.tolist()]) + bytes(9), np.uint8)
     size = sizes[which]
     n = int(size.sum()) + len(which)
@@ -507,7 +560,7 @@ def spans_of(texts: list[bytes], ids: pa.Array, masks: list[dict], runs: list[di
     early = np.r_[early, own.least]
     many = own.at[piece + 1] - own.at[piece]
     run = np.repeat(np.arange(len(piece)), many)
-    place = np.repeat(own.at[piece] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    place = spread(own.at[piece], many)
     row, first = own.row[place], own.first[place]
     late = early[run] < rank[row]
     row, first, run = row[late], first[late], run[late]
