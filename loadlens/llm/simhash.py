@@ -5,10 +5,11 @@ fingerprints that differ in at most r bits agree on at least B - r of B bit band
 a table whose buckets are shards, and each linked pair shares a bucket. A bucket's distinct fingerprints form one tree,
 children keyed by their integer distance to the parent; queries follow only edges within the radius. The shards grow
 with the corpus, so trees and their queries meet by shuffle instead of broadcast; B grows with the number of
-fingerprints, which keeps trees small.
+fingerprints, which keeps trees small. In a dense bucket most members are joined while its tree is built, and a query
+skips the trees that are its own component already, so members of one group aren't paired one by one.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer words than a shingle
-make one shingle of all words; repeated rows and exact copies share a fingerprint and are never paired; a null doc_id
+make one shingle of all words; a very long text is hashed whole, its bits summed in pieces; repeated rows and exact copies share a fingerprint and are never paired; a null doc_id
 gets a component but is never its smallest id while another is there; an empty table gives an empty result; columns
 other than the id and the text are not read.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, small_batches, written
 from .components import components
 
 SHINGLE = 4
@@ -32,7 +33,7 @@ SEED = 42
 BITS = 64
 #: Rows of a partition that are made into trees at once, and (query, node) pairs followed at once.
 BLOCK = 200_000
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -58,6 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of whole texts; fp holds the 64 bits as a signed long."""
     kind = docs.schema[doc_id].dataType
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,61 +73,72 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
 
 
+def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Gives all nodes that u and v connect the smallest label among them; labels are nodes that label themselves."""
+    while True:
+        a, b = label[u], label[v]
+        if not (apart := a != b).any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 class Forest:
-    """BK-trees over the groups of a sorted array: every group's first fingerprint is a root."""
+    """BK-trees over the groups of a sorted array, every group's first fingerprint a root, and what their links connect."""
 
-    def __init__(self, fps: np.ndarray, group: np.ndarray):
-        self.fps = fps
+    def __init__(self, fps: np.ndarray, group: np.ndarray, radius: int):
+        self.fps, self.radius = fps, radius
+        n = len(fps)
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        self.root = np.repeat(first, np.diff(np.r_[first, len(fps)]))
-        rest = np.flatnonzero(self.root != np.arange(len(fps)))
+        self.root = np.repeat(first, np.diff(np.r_[first, n]))
+        self.label = np.arange(n)
+        rest = np.flatnonzero(self.root != self.label)
         at = self.root[rest]
         keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        levels = []
         while len(rest):
-            key = at * (BITS + 1) + np.bitwise_count(fps[rest] ^ fps[at])
-            edge, where, back = np.unique(key, return_index=True, return_inverse=True)
+            d = np.bitwise_count(fps[rest] ^ fps[at])
+            near = d <= radius  # a node on the way is a link already
+            joined(self.label, rest[near], at[near])
+            edge, where, back = np.unique(at * (BITS + 1) + d, return_index=True, return_inverse=True)
             keys.append(edge)
             nodes.append(rest[where])
+            levels.append((rest[where], at[where]))
             at = rest[where][back]
             left = at != rest
             rest, at = rest[left], at[left]
         order = np.argsort(key := np.concatenate(keys))
         self.edge, self.child = key[order], np.concatenate(nodes)[order]
-
-    def within(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) of different members of a group at most radius bits apart, some at a time."""
+        # the least and the greatest label below each node: a query need not enter a tree that is all its own component
+        self.low, self.high = self.label.copy(), self.label.copy()
+        for child, parent in reversed(levels):
+            np.minimum.at(self.low, parent, self.low[child])
+            np.maximum.at(self.high, parent, self.high[child])
+
+    def connected(self) -> np.ndarray:
+        """For each member the first one of its group that links within the radius connect it to."""
+        label = self.label
         todo = [(q := np.arange(len(self.fps)), self.root[q])]
         while todo:
             q, node = todo.pop()
-            if len(q) > FRONTIER:
-                todo += [(q[k : k + FRONTIER], node[k : k + FRONTIER]) for k in range(0, len(q), FRONTIER)]
-                continue
+            new = (self.low[node] != self.high[node]) | (label[self.low[node]] != label[q])
+            q, node = q[new], node[new]
             d = np.bitwise_count(self.fps[q] ^ self.fps[node]).astype(np.int64)
-            if (near := (d <= radius) & (q != node)).any():
-                yield q[near], node[near]
-            low = np.searchsorted(self.edge, node * (BITS + 1) + np.maximum(d - radius, 0))
-            many = np.searchsorted(self.edge, node * (BITS + 1) + np.minimum(d + radius, BITS), "right") - low
-            if total := int(many.sum()):
-                skip = np.repeat(low - (np.cumsum(many) - many), many)
-                todo.append((np.repeat(q, many), self.child[skip + np.arange(total)]))
-
-
-def local_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n nodes the smallest one that the pairs connect it to."""
-    label = np.arange(n)
-    for u, v in pairs:
-        while True:
-            a, b = label[u], label[v]
-            if (a == b).all():
-                break
-            low = np.minimum(a, b)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            while (label[label] != label).any():
-                label = label[label]
-    while (label[label] != label).any():
-        label = label[label]
-    return label
+            near = d <= self.radius
+            joined(label, q[near], node[near])
+            low = np.searchsorted(self.edge, node * (BITS + 1) + np.maximum(d - self.radius, 0))
+            many = np.searchsorted(self.edge, node * (BITS + 1) + np.minimum(d + self.radius, BITS), "right") - low
+            ends = np.cumsum(many)
+            cuts = [0, *np.searchsorted(ends, np.arange(FRONTIER, ends[-1] if len(ends) else 0, FRONTIER)).tolist(), len(q)]
+            for a, b in zip(cuts, cuts[1:]):
+                if total := int(many[a:b].sum()):
+                    skip = np.repeat(low[a:b] - (np.cumsum(many[a:b]) - many[a:b]), many[a:b])
+                    todo.append((np.repeat(q[a:b], many[a:b]), self.child[skip + np.arange(total)]))
+        return label
 
 
 def bands(count: int, radius: int) -> tuple[int, list[list[tuple[int, int]]]]:
@@ -158,7 +171,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             shared = np.bincount(group)[group] > 1
             if shared.any():
                 fp, group = fp[shared], group[shared]
-                label = local_labels(len(fp), Forest(fp.view(np.uint64), group).within(radius))
+                label = Forest(fp.view(np.uint64), group, radius).connected()
                 if (far := label != np.arange(len(fp))).any():
                     yield pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[label[far]])], names=["u", "v"])
 
@@ -178,9 +191,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links can reach."""
-    marks = written(fingerprints(docs, doc_id, text), "fingerprints")
+    marks = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     label = components(links(distinct.select("fp"), radius).distinct())
     root = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -190,12 +203,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest doc_id of their component; of rows that repeat a doc_id one stays."""
+    """Of each component the document with the smallest doc_id.
+
+    Rows without a doc_id, and rows that repeat one, are documents of their own, told apart by their place: of a
+    component one row stays, one with a doc_id if there is any."""
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count():
+        place = next(name for k in range(len(docs.columns) + 1) if (name := f"place_{k}") not in docs.columns)
+        placed = written(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+        found = near_duplicates(placed, place, radius=radius).withColumnRenamed("doc_id", place)
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", place)).alias("f")
+        stay = found.join(placed.select(place, "doc_id"), place).groupBy("component_id").agg(first).select(f"f.{place}")
+        return placed.join(written(stay, "stay"), place, "left_semi").drop(place)
     found = written(near_duplicates(docs, radius=radius), "components")
-    stay = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__stay"))
+    return docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi")
 
 
 def op7_simhash_bk(spark, sf_dir: str) -> DataFrame:
