@@ -1,6 +1,9 @@
 """Quality rules, line first: punctuation, navigation and boilerplate rules judge each line, failing lines go, and
 documents that lose too much text go with them. Built-in functions only; one pass, no shuffle.
 
+A text is judged within its row: a very long one costs its task some ten times its size in memory, for its words and the
+windows of eight of them, and never more rows or tasks.
+
 Defined cases: a null text counts as empty; a text without words fails the base rules; a line without words is neither
 kept nor lost; repeated rows are judged one by one; an empty table gives an empty result; other columns pass through
 ``cleaned`` unless they bear the name of a column it adds, which then replaces them.
@@ -84,30 +87,36 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n <= WINDOW, 0).otherwise(let(grams, covered))
 
 
-def line_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_chars, kept_chars, kept."""
-    body = text_of(text)
+def line_stats(docs: DataFrame, text: str = "text", body: str | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_chars, kept_chars, kept; and
+    with the text less its failing lines as column body, where that is named."""
+    whole = text_of(text)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "kept_chars"]
 
     def measured(words: Column) -> Column:
-        def by_line(lines: Column) -> Column:
-            kept = F.filter(lines, lambda line: ~line_fails(line))
+        def by_line(judged: Column) -> Column:
+            lines = F.transform(F.filter(judged, lambda x: x["fails"].isNotNull()), lambda x: x["line"])
+            kept = F.transform(F.filter(judged, lambda x: x["fails"] == F.lit(False)), lambda x: x["line"])
+            left = F.transform(F.filter(judged, lambda x: ~F.coalesce(x["fails"], F.lit(False))), lambda x: x["line"])
             return F.struct(
                 F.size(words).cast("long").alias("n_words"),
                 F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-                _count(body, "[^#*$%&|<>]+").cast("long").alias("n_symbols"),
+                _count(whole, "[^#*$%&|<>]+").cast("long").alias("n_symbols"),
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 _repeat_words(words).cast("long").alias("n_repeat_words"),
                 F.length(F.array_join(lines, "")).cast("long").alias("line_chars"),
                 F.length(F.array_join(kept, "")).cast("long").alias("kept_chars"),
+                *([F.array_join(left, "\n").alias("body")] if body else []),
             )
 
-        return let(F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)), by_line)
+        # each line is judged once; one without words neither fails nor passes
+        fails = lambda line: F.when(line.rlike(WORD), line_fails(line))
+        return let(F.transform(F.split(whole, "\n"), lambda line: F.struct(line.alias("line"), fails(line).alias("fails"))), by_line)
 
     box = "__line_stats"
-    out = docs.withColumn(box, let(words_of(body), measured))
+    out = docs.withColumn(box, let(words_of(whole), measured))
     out = out.drop(*[c for c in docs.columns if c.lower() in {*made, "base_failed", "kept"}])
-    out = out.select("*", *[F.col(f"{box}.{c}").alias(c) for c in made]).drop(box)
+    out = out.select("*", *[F.col(f"{box}.{c}").alias(c) for c in made], *([F.col(f"{box}.body").alias(body)] if body else [])).drop(box)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("kept_chars") * 100 >= F.col("line_chars") * MIN_KEPT_PERCENT)
@@ -116,9 +125,7 @@ def line_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, without their failing lines; the columns are those of docs (n_chars follows the text)."""
-    passed = line_stats(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias(text)), text)
-    body = F.array_join(F.filter(F.split(text_of(text), "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x)), "\n")
-    passed = passed.filter("kept").withColumn("__body", body)
+    passed = line_stats(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias(text)), text, "__body").filter("kept")
     columns = [F.col(f"__row.`{c}`").alias(c) if c != text else F.col("__body").alias(c) for c in docs.columns]
     out = passed.select(*columns)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
