@@ -5,7 +5,8 @@ has tokens) goes to the driver, where best-fit decreasing runs over counts: all
 with the same room are handled at once. The plan is a list of runs, bounded by the sequence size whatever the corpus.
 Each piece then takes the slot of its rank within its length.
 
-Defined cases: a null or empty text is one piece that holds only the closing id; repeated rows are packed one by one;
+Defined cases: a null or empty text is one piece that holds only the closing id; a very long text is encoded whole, then
+cut; repeated rows are packed one by one;
 an empty table gives an empty result and no sequences; only the id and the text are read.
 """
 
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, written
+from .common import shuffle_width, small_batches, written
 
 SIZE = 2048
 END = np.zeros(1, "<u4").tobytes()
 #: Words, and stems without case and marks, whose ids a worker remembers at most; it starts anew beyond that.
-REMEMBERED = 400_000
-STEMS = 1_000_000
+REMEMBERED = 200_000
+STEMS = 300_000
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write each byte as a letter: itself where it prints, else from code point 256 on.
 _LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -112,6 +113,7 @@ def default_vocabulary() -> str:
 def token_pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids binary]): every document's ids and a closing 0, cut at size tokens."""
     path = path or default_vocabulary()
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
