@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -32,23 +32,32 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VEILED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({]at[\])}]\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]dot[\])}])\s?[A-Za-z0-9-]+)+", re.I)
+_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
+_VEILED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]\s?dot\s?[\])}])\s?[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+])\(?[0-9](?:[0-9 ().-]{5,23})[0-9](?![0-9A-Za-z])")
 _NAMED = re.compile(r"\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.-]{12,}=*)", re.I)
-_HEX = re.compile(r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}(?![A-Za-z0-9])")
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])[A-Fa-f0-9]{32,}(?![A-Za-z0-9])")
+#: A named secret holds one of these, whatever the case.
+_NAMES = ("token", "secret", "passw", "pwd", "key")
 _GROUPED = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})+")
 
-#: Gazetteers.
-TOP_DOMAINS = frozenset("com net org edu gov info io de fr es uk it eu us ca ch at be nl".split())
-COUNTRY_CODES = ("1", "33", "34", "44", "49", "39", "41", "43", "32", "31")
+#: Gazetteers: top domains, first digits of country calling codes (a third digit follows some), card issuers.
+TOP_DOMAINS = frozenset(
+    "com net org edu gov mil int info biz io co me tv app dev ai eu uk de fr es it nl be ch at pt pl cz se no fi dk ie gr hu ro bg"
+    " ru ua tr il in cn jp kr tw hk sg my id th vn au nz us ca mx br ar cl pe za ng ke eg ma".split()
+)
+COUNTRY_CODES = ("1", "7", *(str(k) for k in (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)),
+                 *(str(k) for k in (21, 22, 23, 24, 25, 26, 29, 35, 37, 38, 42, 50, 59, 67, 68, 69, 85, 88, 96, 97, 99)))
 CARD_ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "22", "23", "24", "25", "26", "27")
-#: Context words: for a kind, and against any.
+#: Context words, whole ones: for a kind, and against any.
 CUES = {
-    "email": ("mail", "contact", "write to", "reach"), "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "mastercard", "amex", "account", "pay"), "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "secret": ("token", "secret", "password", "passwd", "pwd", "key"),
+    "email": r"e-?mails?|mail|contact|write to|reach|address", "ip": r"ips?|hosts?|servers?|addr|address|ping|login from",
+    "card": r"cards?|visa|mastercard|amex|account|pay|payment|credit", "phone": r"phones?|telephone|tel|call|mobile|cell|fax|dial|ring",
+    "secret": r"token|secret|password|passwd|pwd|key|api[_-]?key|access[_-]?key|credentials?",
 }
-AGAINST = ("version", "isbn", "issn", "page", "section", "order no", "invoice", "chapter", "doi")
+AGAINST = r"versions?|ver|isbn|issn|pages?|pp|sections?|order no|order|invoice|chapters?|doi|sha|commit|build|serial|part no"
+_CUES = {kind: re.compile(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])") for kind, words in CUES.items()}
+_AGAINST = re.compile(rf"(?<![a-z0-9])(?:{AGAINST})(?![a-z0-9])")
 _NEAR = 24
 
 
@@ -99,9 +108,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def votes(kind: str, span: str, before: str, base: bool) -> tuple[int, int, int]:
+def before(text: str, start: int) -> str:
+    """What stands right before a span, from a word's beginning on."""
+    low = max(0, start - _NEAR)
+    while 0 < low < start and text[low - 1].isalnum():
+        low += 1
+    return text[low:start]
+
+
+def votes(kind: str, span: str, context: str, base: bool) -> tuple[int, int, int]:
     """What the regex, gazetteer and context labelers say: 1 yes, -1 no, 0 nothing."""
-    d, low = _digits(span), before.lower()
+    d, low = _digits(span), context.lower()
     if kind == "email":
         form = 1
         book = 1 if re.split(r"[^a-z]+", span.lower())[-1] in TOP_DOMAINS else -1
@@ -116,9 +133,9 @@ def votes(kind: str, span: str, before: str, base: bool) -> tuple[int, int, int]
         book = (1 if d.startswith(COUNTRY_CODES) else -1) if span[0] == "+" else 0
     else:
         mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
-        form = 1 if mixed and len(set(span)) >= 8 else -1
+        form = (1 if mixed else 0) if len(set(span)) >= 8 else -1
         book = 1 if re.search(r"(?:token|secret|passw|pwd|key)\W*$", low) else 0
-    near = -1 if any(c in low for c in AGAINST) else 1 if any(c in low for c in CUES[kind]) else 0
+    near = -1 if _AGAINST.search(low) else 1 if _CUES[kind].search(low) else 0
     return form, book, near
 
 
@@ -128,15 +145,20 @@ def shape(span: str) -> int:
     return bucket * 8 + 4 * any(c.isdigit() for c in span) + 2 * any(c.isalpha() for c in span) + any(c in " ().-" for c in span)
 
 
+def _named(text: str) -> bool:
+    low = text.lower()
+    return any(name in low for name in _NAMES)
+
+
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
     """The base spans, and all candidates as (kind, start, end, pattern); the pattern codes kind, votes and shape."""
     base = base_spans(text)
     spans = [(k, a, b, True) for k, a, b in base]
-    low_at = "at]" in text or "at)" in text or "at}" in text or "AT" in text
-    if low_at:
+    if _AT.search(text):
         spans += [("email", *m.span(), False) for m in _VEILED.finditer(text)]
+    if ("=" in text or ":" in text) and _named(text):
+        spans += [("secret", *m.span(1), False) for m in _NAMED.finditer(text)]
     if _DIGIT.search(text):
-        spans += [("secret", *m.span(1), False) for m in _NAMED.finditer(text)] if "=" in text or ":" in text else []
         spans += [("secret", *m.span(), False) for m in _HEX.finditer(text)]
         spans += [("ip", *m.span(), False) for m in _IP.finditer(text)]
         for m in _NUMBER.finditer(text):
@@ -156,7 +178,7 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
                 rest.append((k, a, b, own))
         spans = [s for s in spans if s[3]] + rest
     for k, a, b, own in spans:
-        form, book, near = votes(k, text[a:b], text[max(0, a - _NEAR) : a], own)
+        form, book, near = votes(k, text[a:b], before(text, a), own)
         code = (((KINDS.index(k) * 3 + form + 1) * 3 + book + 1) * 3 + near + 1) * 256 + shape(text[a:b])
         out.append((k, a, b, -1 - code if own else code))
     return base, out
@@ -174,6 +196,7 @@ _FOUND = (
 
 def candidate_table(docs: DataFrame) -> DataFrame:
     """One row per document: base counts and digest, and all candidates; a negative pattern marks a base span."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64())]))
 

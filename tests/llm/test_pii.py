@@ -64,3 +64,61 @@ def test_documents(spark):
     assert clean[0] is None and clean[2] == texts[2] and clean[3] == "call [PHONE] now"
     assert clean[4] == 'token = "[SECRET]" é ip [IP]'
     assert pii.find_spans(docs.limit(0)).collect() == []
+
+
+def planted(seed, n=1500):
+    """Texts with spans that the base patterns miss: (text, kind, span or None for a look-alike)."""
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    out = []
+    for _ in range(n):
+        kind, true = pick(("email", True), ("phone", True), ("secret", True), ("email", True), ("phone", True), ("secret", True), ("phone", False), ("ip", False), ("card", False), ("secret", False))
+        if kind == "email":
+            at, dot = pick((" [at] ", " [dot] "), (" (AT) ", "."), (" {At} ", " {Dot} "), ("[ at ]", "."))
+            span = f"{letters(6)}{at}{letters(7)}{dot}{pick('com', 'org', 'de', 'net', 'fr')}"
+            lead = pick("contact ", "write to ", "see ", "by e-mail: ", "")
+        elif kind == "phone" and true:
+            span = pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}")
+            lead = pick("call ", "phone: ", "tel ", "Mobile ", "fax ")
+        elif kind == "secret" and true:
+            span = pick(letters(19), digits(4) + letters(14), "".join(rng.choices("0123456789abcdef", k=40)))
+            lead = pick("password = ", "API_KEY: ", "Secret: ", "access-key=", "pwd = ")
+        elif kind == "phone":
+            span, lead = pick((f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", "ISBN "), (f"{digits(4)}-{digits(4)}", "pages "), (f"{digits(8)}", "order no "), (f"{digits(4)}-{digits(4)}", "ISSN "))
+        elif kind == "ip":
+            span, lead = f"{rng.randint(256, 999)}.{digits(2)}.{digits(1)}.{digits(1)}", "version "
+        elif kind == "card":
+            span, lead = digits(14), pick("serial ", "invoice ")
+        else:
+            span, lead = pick("aaaaaaaaaaaaaa", "--------------", "xxxxxxxxxxxxxxxx"), "key: "
+        text = f"{letters(5)} {letters(4)}, {lead}{span} {letters(6)} {letters(3)}"
+        out.append((text, kind, span if true else None))
+    return out
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    rows = planted(3)
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs).collect()}
+    hit, total, added, right = {}, {}, 0, 0
+    for i, (text, kind, span) in enumerate(rows):
+        base = {f"{k}:{a}:{b}" for k, a, b in pii.base_spans(text)}
+        spans = [x for x in got[i].split(",") if x and x not in base]
+        added += len(spans)
+        want = None
+        if span:
+            want = f"{kind}:{text.index(span)}:{text.index(span) + len(span)}"
+            total[kind] = total.get(kind, 0) + 1
+            hit[kind] = hit.get(kind, 0) + (want in spans or want in base)
+        right += sum(x == want for x in spans)
+    recall = {k: round(hit[k] / total[k], 3) for k in total}
+    print("recall", recall, "precision", round(right / added, 3))
+    assert min(recall.values()) >= 0.95 and right >= 0.95 * added
+
+
+def test_named_secrets_need_no_digit_and_marks_no_case():
+    assert [(k, a, b) for k, a, b, _ in pii.candidates("password = correcthorsebattery")[1]] == [("secret", 11, 30)]
+    assert [(k, a) for k, a, _, _ in pii.candidates("me [At] host [dOt] com")[1]] == [("email", 0)]
+    assert pii.votes("ip", "1.2.3.4", "the ship ", True)[2] == 0 and pii.votes("phone", "123 456 7890", "hotel ", False)[2] == 0
