@@ -106,17 +106,16 @@ def line_stats(docs: DataFrame, text: str = "text", body: str | None = None) ->
                 _repeat_words(words).cast("long").alias("n_repeat_words"),
                 F.length(F.array_join(lines, "")).cast("long").alias("line_chars"),
                 F.length(F.array_join(kept, "")).cast("long").alias("kept_chars"),
-                *([F.array_join(left, "\n").alias("body")] if body else []),
+                *([F.array_join(left, "\n").alias(body)] if body else []),
             )
 
         # each line is judged once; one without words neither fails nor passes
         fails = lambda line: F.when(line.rlike(WORD), line_fails(line))
         return let(F.transform(F.split(whole, "\n"), lambda line: F.struct(line.alias("line"), fails(line).alias("fails"))), by_line)
 
-    box = "__line_stats"
-    out = docs.withColumn(box, let(words_of(whole), measured))
-    out = out.drop(*[c for c in docs.columns if c.lower() in {*made, "base_failed", "kept"}])
-    out = out.select("*", *[F.col(f"{box}.{c}").alias(c) for c in made], *([F.col(f"{box}.body").alias(body)] if body else [])).drop(box)
+    # a generator of one row: a filter on what is measured isn't moved below it, which would measure twice
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*made, "base_failed", "kept"}]
+    out = docs.select(*rest, F.inline(F.array(let(words_of(whole), measured))))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("kept_chars") * 100 >= F.col("line_chars") * MIN_KEPT_PERCENT)
