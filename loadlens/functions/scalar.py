@@ -13,6 +13,9 @@ UNSIGNED_MAX = 0xFFFFFFFF
 SEED_STEP, SEED_SPACE = 137, 10_000
 NOISE = 0.1
 EARTH_KM = 6372.797560856
+# Fixed values: (from hour, to hour, change of the load) through the day.
+DAY = ((9, 17, 0.15), (18, 22, 0.05), (6, 8, -0.1))
+NIGHT = -0.2
 
 
 def int32(x: Column) -> Column:
@@ -49,9 +52,10 @@ def hour_of(t: Column) -> Column:
 
 
 def daily_factor(hour: Column) -> Column:
-    return (
-        F.when(hour.between(9, 17), 0.15).when(hour.between(18, 22), 0.05).when((hour >= 23) | (hour <= 5), -0.2).otherwise(-0.1)
-    )
+    out = F.lit(NIGHT)
+    for first, last, factor in DAY:
+        out = F.when(hour.between(first, last), factor).otherwise(out)
+    return out
 
 
 def scenario_load(base: Column, scenario: str) -> Column:

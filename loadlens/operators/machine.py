@@ -5,8 +5,11 @@ Plain Python and free of Spark: the batch fold and the stream share it. Limits i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 # Thresholds of the averages, dwell times and the cooldown in milliseconds.
 STRESSED_FROM, STRESSED_TO = 0.75, 0.65
 CRITICAL_FROM, CRITICAL_TO = 0.90, 0.80
@@ -116,6 +119,36 @@ class SlidingWindow:
         return max(self.buckets) - min(self.buckets) if self.buckets else 0
 
 
-def flags(sum60: int, count60: int, sum300: int, count300: int) -> tuple[bool, bool, bool, bool]:
-    """The four comparisons on milli-load sums, exact in whole numbers."""
+def flags(sum60, count60, sum300, count300) -> tuple:
+    """The four comparisons on milli-load sums (numbers or arrays), exact in whole numbers."""
     return sum300 >= 750 * count300, sum60 >= 900 * count60, sum300 <= 650 * count300, sum300 <= 800 * count300
+
+
+def run(z: ZoneState, t: np.ndarray, s60: np.ndarray, n60: np.ndarray, s300: np.ndarray, n300: np.ndarray) -> Iterator[tuple[int, str, str, bool]]:
+    """``step`` over a zone's events in order: (place, previous state, state, alerted) of the changes.
+
+    Events with equal comparisons make a run; within one the machine either stays as it is, or moves at the first event
+    that is late enough, so the events between are never looked at one by one."""
+    high5, high1, low5, below5 = flags(s60, n60, s300, n300)
+    code = high5 * 8 + high1 * 4 + low5 * 2 + below5
+    ends = np.r_[np.flatnonzero(code[1:] != code[:-1]) + 1, len(code)].tolist() if len(code) else []
+    at = 0
+    for end in ends:
+        own = tuple(bool(x[at]) for x in (high5, high1, low5, below5))
+        while at < end:
+            if change := step(z, int(t[at]), *own):
+                yield at, *change
+                at += 1
+                continue
+            since, dwell = None, 0
+            if z.state == "NORMAL" and own[0]:
+                since, dwell = z.stressed_since, STRESSED_DWELL
+            elif z.state == "STRESSED" and own[1]:
+                since, dwell = z.critical_since, CRITICAL_DWELL
+            if since is None:
+                break
+            due = np.flatnonzero(t[at + 1 : end] - since >= dwell)
+            if not len(due):
+                break
+            at += 1 + int(due[0])
+        at = end

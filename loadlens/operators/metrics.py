@@ -37,8 +37,18 @@ def throughput(events: DataFrame, *labels: str) -> DataFrame:
     return rows.withColumn("events_per_second", rate)
 
 
-def zone_summary(scored: DataFrame) -> DataFrame:
-    """Each zone's last averages (three places) and how many events it had."""
+def zone_summary(scored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each zone's state, last averages (three places) and how many events it had."""
     last = F.max_by(F.struct("avg1m", "avg5m", "t"), F.col("seq")).alias("s")
     rows = scored.groupBy("zone_id").agg(last, F.count("*").alias("events"))
-    return rows.select("zone_id", F.round("s.avg1m", 3).alias("avg1m"), F.round("s.avg5m", 3).alias("avg5m"), F.col("s.t").alias("t"), "events")
+    state = changes.groupBy("zone_id").agg(F.max_by("current_state", "seq").alias("state"))
+    return rows.join(state, "zone_id", "left").select(
+        "zone_id", F.coalesce("state", F.lit("NORMAL")).alias("state"), F.round("s.avg1m", 3).alias("avg1m"), F.round("s.avg5m", 3).alias("avg5m"),
+        F.col("s.t").alias("t"), "events",
+    )
+
+
+def exposition(counters: DataFrame) -> DataFrame:
+    """(line): counters (name, labels, value) as text, one sample a line."""
+    labels = F.when(F.col("labels") != "", F.concat(F.lit("{"), F.col("labels"), F.lit("}"))).otherwise("")
+    return counters.select(F.concat("name", labels, F.lit(" "), F.col("value").cast("string")).alias("line"))

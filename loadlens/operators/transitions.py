@@ -1,18 +1,22 @@
 """The state machine over a table: each zone's events in order of arrival.
 
 What a zone does next depends on all it did before, so a zone is one sequence; rows are dealt by zone, sorted on disk
-if need be, and streamed through the machine batch by batch: a task holds one zone's state, never its events.
+if need be, and streamed through the machine batch by batch: a task holds one zone's state, never its events. The machine
+looks at the events where a comparison changes or a dwell time ends, found in whole arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.operators.machine import SlidingWindow, ZoneState, flags, step
+from loadlens.operators import windows
+from loadlens.operators.machine import SlidingWindow, ZoneState, run
+from loadlens.operators.windows import in_order
 
 CHANGES = "zone_id string, seq long, t long, previous_state string, current_state string, avg1m double, avg5m double, alerted boolean"
 
@@ -25,19 +29,24 @@ def transitions(scored: DataFrame) -> DataFrame:
     """Changes of state with averages at the event and whether an alert went out, of scored events."""
     rows = _ordered(scored, "t", "sum60", "count60", "sum300", "count300")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zone, z = None, ZoneState()
         for batch in batches:
+            ids = batch.column(0).dictionary_encode()
+            code = ids.indices.to_numpy()
+            seq, *columns = (batch.column(k).to_numpy() for k in range(1, 7))
+            cuts = [*np.flatnonzero(np.r_[True, code[1:] != code[:-1]]).tolist(), len(code)] if len(code) else []
             out = []
-            for own, seq, t, s1, n1, s5, n5 in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != zone:
+            for a, b in zip(cuts, cuts[1:]):
+                if (own := batch.column(0)[a].as_py()) != zone:
                     zone, z = own, ZoneState()
-                if change := step(z, t, *flags(s1, n1, s5, n5)):
-                    out.append((own, seq, t, change[0], change[1], s1 / (n1 * 1000), s5 / (n5 * 1000), change[2]))
+                t, s1, n1, s5, n5 = (c[a:b] for c in columns)
+                for k, before, after, alerted in run(z, t, s1, n1, s5, n5):
+                    out.append((own, int(seq[a + k]), int(t[k]), before, after, s1[k] / (n1[k] * 1000), s5[k] / (n5[k] * 1000), alerted))
             if out:
                 yield _batch(out, _CHANGE)
 
-    return rows.mapInArrow(run, CHANGES)
+    return rows.mapInArrow(fold, CHANGES)
 
 
 _CHANGE = pa.schema([
@@ -71,6 +80,13 @@ def scored_in_arrival_order(events: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "zone_id string, " + ", ".join(f"{f.name} long" for f in list(_SCORED)[1:]))
 
 
+def scored(events: DataFrame) -> DataFrame:
+    """Window sums in either case: by windows where no event came late, else in order of arrival."""
+    if in_order(events):
+        return windows.scored(events).select("zone_id", "seq", "t", "load_milli", "sum60", "count60", "sum300", "count300")
+    return scored_in_arrival_order(events)
+
+
 def alerts(changes: DataFrame) -> DataFrame:
     return changes.filter("alerted").drop("alerted")
 

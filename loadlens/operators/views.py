@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadlens.functions.scalar import setting
 
-ZONE_LIST, GLOBAL_LIST = setting("ZONE_ALERTS_LIMIT", 100), setting("GLOBAL_ALERTS_LIMIT", 1000)
+ZONE_LIST, GLOBAL_LIST = setting("ALERT_HISTORY_LIMIT", 100), setting("ALERT_GLOBAL_LIMIT", 1000)
 
 
 def first_seen(events: DataFrame) -> DataFrame:
@@ -17,8 +17,10 @@ def first_seen(events: DataFrame) -> DataFrame:
 
 
 def latest_state(changes: DataFrame, coordinates: DataFrame | None = None) -> DataFrame:
-    """One row per zone that ever changed, as of its last change; suppressed alerts count as changes."""
-    last = F.max_by(F.struct(F.col("current_state").alias("state"), "avg1m", "avg5m", F.col("t").alias("last_updated"), "seq"), F.col("seq"))
+    """One row per zone that ever changed, as of its last change; suppressed alerts count as changes. Coordinates come from
+    the changes themselves or from a table of zones."""
+    at = [c for c in ("latitude", "longitude") if c in changes.columns]
+    last = F.max_by(F.struct(F.col("current_state").alias("state"), "avg1m", "avg5m", F.col("t").alias("last_updated"), "seq", *at), F.col("seq"))
     rows = changes.groupBy("zone_id").agg(last.alias("s")).select("zone_id", "s.*")
     return rows if coordinates is None else rows.join(coordinates, "zone_id", "left")
 

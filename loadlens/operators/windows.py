@@ -6,7 +6,7 @@ cut into chunks of time with a lookback, the own second from a running sum. So t
 (zone, second): a zone with a third of all events is spread over its seconds.
 
 This holds where seconds never decrease within a zone in order of arrival (``in_order``); with late events, which push
-old seconds out by their own time, use ``transitions.scored_in_arrival_order``.
+old seconds out by their own time, ``transitions.scored_in_arrival_order``. ``transitions.scored`` picks the one that holds.
 """
 
 from __future__ import annotations
@@ -68,12 +68,14 @@ def scored(events: DataFrame) -> DataFrame:
     )
 
 
-def in_order(events: DataFrame, block: int = 4096) -> bool:
-    """Whether seconds never decrease within a zone by seq; compared inside blocks of seq, then between blocks."""
-    rows = seconds(events).withColumn("block", F.floor(F.col("seq") / block))
-    inside = Window.partitionBy("zone_id", "block").orderBy("seq")
-    rows = rows.withColumn("back", F.col("sec") < F.lag("sec").over(inside))
-    blocks = rows.groupBy("zone_id", "block").agg(F.max("sec").alias("most"), F.min("sec").alias("least"), F.max(F.col("back")).alias("back"))
-    earlier = Window.partitionBy("zone_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bad = blocks.withColumn("before", F.max("most").over(earlier)).filter("back or least < before")
-    return bad.limit(1).count() == 0
+def in_order(events: DataFrame) -> bool:
+    """Whether seconds never decrease within a zone by seq: no event of a second arrived after one of a later second.
+
+    Seconds are summed up on the map side; they are compared within chunks of time, then chunk by chunk."""
+    rows = seconds(events).groupBy("zone_id", "sec").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    rows = rows.withColumn("chunk", F.floor(F.col("sec") / CHUNK))
+    inside = Window.partitionBy("zone_id", "chunk").orderBy("sec").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bad", F.col("first") < F.max("last").over(inside))
+    chunks = rows.groupBy("zone_id", "chunk").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("bad").alias("bad"))
+    earlier = Window.partitionBy("zone_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.withColumn("before", F.max("last").over(earlier)).filter("bad or first < before").limit(1).count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadlens.functions import scalar
 from loadlens.operators import metrics, transitions, views, windows
 from loadlens.plans import api
+from loadlens.sources import decode, generator, sinks
 from loadlens.sources.events_table import START, ZONES, zone_event_stream, zone_events
 from loadlens.sources.generator import generate_events, generate_zones
 from loadlens.sources.scratch import fresh_folder
@@ -110,21 +111,27 @@ _TR = "WITH RECURSIVE " + _SCORED + _MACHINE
 _AVERAGES = "sum60::DOUBLE / (count60 * 1000) AS avg1m, sum300::DOUBLE / (count300 * 1000) AS avg5m"
 
 
+def _events(spark: SparkSession, sf_dir: str, zone: str | None = None) -> DataFrame:
+    """The events, of one zone only where a query asks for it: the filter then stands below all windows and the fold."""
+    events = zone_events(spark, sf_dir)
+    return events.filter(F.col("zone_id") == zone) if zone else events
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.scored(zone_events(spark, sf_dir))
+    return windows.scored(_events(spark, sf_dir))
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitions.transitions(_scored(spark, sf_dir))
+def _changes(spark: SparkSession, sf_dir: str, zone: str | None = None) -> DataFrame:
+    return transitions.transitions(transitions.scored(_events(spark, sf_dir, zone)))
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitions.alerts(_changes(spark, sf_dir))
+def _alerts(spark: SparkSession, sf_dir: str, zone: str | None = None) -> DataFrame:
+    return transitions.alerts(_changes(spark, sf_dir, zone))
 
 
-def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _located(spark: SparkSession, sf_dir: str, zone: str | None = None) -> DataFrame:
     zones = generate_zones(spark, ZONES).select("zone_id", "latitude", "longitude")
-    return views.latest_state(_changes(spark, sf_dir), zones)
+    return views.latest_state(_changes(spark, sf_dir, zone), zones)
 
 
 @query("WITH " + _IN_ORDER + " SELECT zone_id, sec, sum(load_milli)::BIGINT AS sum_milli, count(*) AS n FROM ev GROUP BY ALL")
@@ -192,7 +199,7 @@ def zones_all(spark, sf_dir):
 
 @query(_TR + _LATEST + _ZONES + " SELECT * FROM lo WHERE zone_id = 'Z-3'")
 def zone_by_id(spark, sf_dir):
-    return api.zone(_located(spark, sf_dir), "Z-3")
+    return api.zone(_located(spark, sf_dir, "Z-3"), "Z-3")
 
 
 _AWAY = f"""2 * {scalar.EARTH_KM} * asin(sqrt(least(1.0, pow(sin(radians(latitude - 10) / 2), 2)
@@ -208,7 +215,7 @@ def zones_near(spark, sf_dir):
 @query(_TR + """ SELECT * EXCLUDE (zone_id) FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY seq DESC)::INT AS rank FROM al)
 WHERE zone_id = 'Z-2' AND rank <= 10""")
 def zone_alert_list(spark, sf_dir):
-    return api.zone_alerts(_alerts(spark, sf_dir), "Z-2", 10)
+    return api.zone_alerts(_alerts(spark, sf_dir, "Z-2"), "Z-2", 10)
 
 
 @query(_TR + " SELECT * FROM al ORDER BY seq DESC LIMIT 20")
@@ -226,7 +233,7 @@ _HISTORY = "SELECT seq AS id, zone_id, previous_state, current_state, avg1m, avg
 
 @query(_TR + f" SELECT * EXCLUDE (zone_id) FROM ({_HISTORY}) WHERE zone_id = 'Z-1' AND timestamp BETWEEN {START + 600_000} AND {START + 3_000_000} ORDER BY timestamp, id")
 def zone_history(spark, sf_dir):
-    return api.history(views.history(_alerts(spark, sf_dir)), "Z-1", START + 600_000, START + 3_000_000)
+    return api.history(views.history(_alerts(spark, sf_dir, "Z-1")), "Z-1", START + 600_000, START + 3_000_000)
 
 
 @query(_TR + f" SELECT * FROM ({_HISTORY}) ORDER BY timestamp DESC, id DESC LIMIT 50")
@@ -315,10 +322,16 @@ def throughput(spark, sf_dir):
     return metrics.throughput(zone_events(spark, sf_dir), "zone_id")
 
 
-@query("WITH " + _SCORED + f""" SELECT zone_id, round(avg1m, 3) AS avg1m, round(avg5m, 3) AS avg5m, t, events FROM (
-SELECT zone_id, t, {_AVERAGES}, count(*) OVER (PARTITION BY zone_id) AS events, row_number() OVER (PARTITION BY zone_id ORDER BY seq DESC) AS r FROM sc) WHERE r = 1""")
+@query(_TR + _LATEST + f""", z AS (SELECT zone_id, t, {_AVERAGES}, count(*) OVER (PARTITION BY zone_id) AS events, row_number() OVER (PARTITION BY zone_id ORDER BY seq DESC) AS r FROM sc)
+SELECT z.zone_id, coalesce(state, 'NORMAL') AS state, round(z.avg1m, 3) AS avg1m, round(z.avg5m, 3) AS avg5m, t, events FROM z LEFT JOIN lt ON z.zone_id = lt.zone_id WHERE r = 1""")
 def zone_summary(spark, sf_dir):
-    return metrics.zone_summary(_scored(spark, sf_dir))
+    scored = _scored(spark, sf_dir)
+    return metrics.zone_summary(scored, transitions.transitions(scored))
+
+
+@query("WITH " + _GENERATED + " SELECT zone_id, latitude, longitude, base_load FROM zn WHERE num <= 5")
+def first_zones(spark, sf_dir):
+    return generator.first_zones(generate_zones(spark, 25))
 
 
 @query("WITH " + _IN_ORDER + " SELECT zone_id, count(*) AS value FROM ev GROUP BY zone_id")
@@ -338,6 +351,18 @@ def requests_by_route(spark, sf_dir):
     return metrics.counter(rows.select(scalar.route_name(F.col("path")).alias("route")), "route")
 
 
+@query("""SELECT method, route, status, count(*) AS value FROM (SELECT CASE WHEN user_id % 5 = 0 THEN 'HEAD' ELSE 'GET' END AS method,
+CASE user_id % 3 WHEN 0 THEN '/zones' WHEN 1 THEN '/zones/:zoneId' ELSE '/alerts/:zoneId' END AS route, CASE WHEN event_id % 50 = 0 THEN 404 ELSE 200 END::INT AS status FROM events) GROUP BY ALL""")
+def requests_total(spark, sf_dir):
+    n = F.col("user_id").cast("string")
+    path = F.when(F.col("user_id") % 3 == 0, "/zones").when(F.col("user_id") % 3 == 1, F.concat(F.lit("/zones/Z-"), n)).otherwise(F.concat(F.lit("/alerts/Z-"), n))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.when(F.col("user_id") % 5 == 0, "HEAD").otherwise("GET").alias("method"), scalar.route_name(path).alias("route"),
+        F.when(F.col("event_id") % 50 == 0, 404).otherwise(200).alias("status"),
+    )
+    return metrics.counter(rows, "method", "route", "status")
+
+
 @query("WITH " + _LATE_SCORED + " SELECT zone_id, seq, t, load_milli, sum60, count60, sum300, count300 FROM sc")
 def late_events_scored(spark, sf_dir):
     return transitions.scored_in_arrival_order(zone_events(spark, sf_dir, late=True))
@@ -353,4 +378,73 @@ def stream_transitions(spark, sf_dir):
     """The stream run to the end of its source; what it wrote."""
     folder = fresh_folder(spark, "stream")
     pipeline.start(zone_event_stream(spark, sf_dir, late=True), folder, folder.rsplit("/", 1)[1]).awaitTermination()
-    return spark.read.parquet(f"{folder}/transitions").drop("batch")
+    return spark.read.parquet(f"{folder}/transitions").drop("batch", "latitude", "longitude")
+
+
+@query("WITH RECURSIVE " + _LATE_SCORED + _MACHINE + " SELECT * FROM tr")
+def transitions_in_any_order(spark, sf_dir):
+    """Events that may come late, by whichever form of the windows holds for them."""
+    return transitions.transitions(transitions.scored(zone_events(spark, sf_dir, late=True)))
+
+
+_RAN: dict[tuple[str, str], str] = {}
+
+
+def _streamed(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+    """The folder that the stream wrote from the events as JSON messages, in several micro-batches; run once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RAN:
+        folder = fresh_folder(spark, "live")
+        zones = generate_zones(spark, ZONES).select("zone_id", "latitude", "longitude")
+        rows = zone_events(spark, sf_dir).join(zones, "zone_id")
+        rows = rows.select(
+            F.col("seq").cast("string").alias("eventId"), F.col("zone_id").alias("zoneId"), "latitude", "longitude",
+            (F.col("load_milli") / 1000).alias("load"), F.col("t").alias("eventTimestamp"), F.col("t").alias("producedAt"), F.col("seq").alias("offset"),
+        )
+        last = rows.agg(F.max("offset")).first()[0] or 0
+        for k in range(files):
+            part = rows.filter((F.col("offset") > last * k // files - (k == 0)) & (F.col("offset") <= last * (k + 1) // files))
+            decode.sent(decode.encoded_events(part).coalesce(1), f"{folder}/in")
+        query = pipeline.start_from_messages(spark, f"{folder}/in", folder, folder.rsplit("/", 1)[1])
+        query.awaitTermination()
+        _RAN[key] = folder
+    return _RAN[key]
+
+
+@query(_TR + " SELECT zone_id, previous_state, current_state, avg1m, avg5m, t FROM al")
+def stream_alerts(spark, sf_dir):
+    """The alert messages that the stream published, decoded again."""
+    rows = pipeline.published_alerts(spark, _streamed(spark, sf_dir))
+    return rows.select(
+        F.col("zoneId").alias("zone_id"), F.col("previousState").alias("previous_state"), F.col("currentState").alias("current_state"),
+        "avg1m", "avg5m", F.col("timestamp").alias("t"),
+    )
+
+
+@query(_TR + _LATEST + _ZONES + " SELECT * FROM lo")
+def stream_latest(spark, sf_dir):
+    return sinks.read_latest(spark, f"{_streamed(spark, sf_dir)}/latest")
+
+
+@query(_TR + _LATEST + _ZONES + f" SELECT zone_id, state, round({_AWAY}, 3) AS distance_km FROM lo WHERE {_AWAY} <= 12000")
+def stream_zones_near(spark, sf_dir):
+    rows = api.zones_near(stream_latest(spark, sf_dir), 10.0, 30.0, 12_000.0)
+    return rows.select("zone_id", "state", F.round("distance_km", 3).alias("distance_km"))
+
+
+@query(_TR + _LATEST + _ZONES + " SELECT * FROM lo WHERE zone_id = 'Z-3'")
+def stream_zone_by_id(spark, sf_dir):
+    return api.zone(stream_latest(spark, sf_dir), "Z-3")
+
+
+@query(_TR + f" SELECT * EXCLUDE (zone_id) FROM ({_HISTORY}) WHERE zone_id = 'Z-1' AND timestamp BETWEEN {START + 600_000} AND {START + 3_000_000} ORDER BY timestamp, id")
+def stream_history(spark, sf_dir):
+    first, last = START + 600_000, START + 3_000_000
+    return api.history(sinks.read_history(spark, f"{_streamed(spark, sf_dir)}/history", first, last), "Z-1", first, last)
+
+
+@query(_TR + """ SELECT 'state_transitions_total{from="' || previous_state || '",to="' || current_state || '"} ' || count(*) AS line FROM tr GROUP BY previous_state, current_state
+UNION ALL SELECT name || ' ' || n AS line FROM (SELECT count(*) AS n FROM al), (SELECT unnest(['alerts_published_total', 'alerts_consumed_total',
+  'alerts_persisted_total{storage="lists"}', 'alerts_persisted_total{storage="history"}']) AS name)""")
+def metrics_exposition(spark, sf_dir):
+    return metrics.exposition(pipeline.counters(spark, _streamed(spark, sf_dir)))

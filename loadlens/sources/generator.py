@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions.scalar import (
@@ -14,6 +14,12 @@ from loadlens.functions.scalar import (
 
 GOLDEN_ANGLE = math.degrees(math.pi * (3 - math.sqrt(5)))
 MAX_LATITUDE = 85.0
+# Every so many zones the base load is that much higher or lower.
+BASE_STEPS = ((7, 0.15), (11, -0.1), (13, 0.25))
+#: Zones that a live stream has at most: they travel with its ticks.
+MOST_LIVE_ZONES = 100_000
+#: Ticks that one task generates for a zone.
+TICK_BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -27,7 +33,7 @@ class Simulation:
     def from_environment(cls) -> Simulation:
         import os
 
-        return cls(setting("ZONE_COUNT", 10), setting("EVENTS_PER_SECOND", 50), os.environ.get("SCENARIO", "normal"), setting("LOG_EVERY_N_EVENTS", 100))
+        return cls(setting("NUM_ZONES", 10), setting("EVENTS_PER_SECOND", 50), os.environ.get("SCENARIO", "normal"), setting("LOG_EVERY_N", 100))
 
 
 def generate_zones(spark: SparkSession, count: int) -> DataFrame:
@@ -38,7 +44,7 @@ def generate_zones(spark: SparkSession, count: int) -> DataFrame:
     latitude = F.degrees(F.asin(1 - i / F.lit(count - 1).cast("double") * 2))
     longitude = (i * GOLDEN_ANGLE + 540) % 360 - 180
     base = 0.2 + (i * 137 % 1000 % 300) / F.lit(1000).cast("double")
-    for step, more in ((7, 0.15), (11, -0.1), (13, 0.25)):
+    for step, more in BASE_STEPS:
         base = base + F.when(i % step == 0, more).otherwise(0.0)
     base = F.greatest(F.lit(0.05), F.least(F.lit(0.95), base))
     return spark.range(count).select(
@@ -48,24 +54,38 @@ def generate_zones(spark: SparkSession, count: int) -> DataFrame:
     )
 
 
-def generate_events(zones: DataFrame, ticks: int, start: int, tick_ms: int, scenario: str = "normal") -> DataFrame:
+def _load(base: Column, number: Column, t: Column, scenario: str) -> Column:
+    noise = (pseudo_random(noise_seed(number, t)) - 0.5) * NOISE
+    load = scenario_load(base, scenario) * (1 + daily_factor(hour_of(t)) + noise)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), load)), 3)
+
+
+def ticked(zones: DataFrame, ticks: int) -> DataFrame:
+    """zones with tick from 0 on, a row for each: blocks of ticks are dealt out, then unrolled, without a join."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, ticks - 1)).cast("long"), F.lit(TICK_BLOCK).cast("long")))
+    rows = zones.withColumn("block", blocks).repartition("zone_id", "block")
+    last = F.least(F.col("block") + TICK_BLOCK, F.lit(ticks).cast("long")) - 1
+    rows = rows.filter(F.lit(ticks) > 0).withColumn("tick", F.explode(F.sequence(F.col("block"), F.greatest(last, F.col("block")))))
+    return rows.drop("block")
+
+
+def generate_events(zones: DataFrame, ticks: int, start: int, tick_ms: int, scenario: str = "normal", stride: int = 1_000_000) -> DataFrame:
     """One event for each zone and tick: (seq, zone_id, latitude, longitude, load, t, produced_at).
 
     A zone's clock moves by its own step but never past the tick; unrolled, it is n steps beyond the least lead of all
-    ticks so far. Zones are few, so they travel to the ticks.
+    ticks so far. seq is tick * stride + the zone's number, so that must stay below the stride.
     """
-    spark = zones.sparkSession
     number = zone_number(F.col("zone_id"))
-    rows = spark.range(ticks).withColumnRenamed("id", "tick").crossJoin(F.broadcast(zones))
+    if zones.filter(number >= stride).limit(1).count():
+        raise ValueError("stride must exceed the number of zones")
+    rows = ticked(zones, ticks)
     rows = rows.withColumn("produced_at", F.lit(start) + F.col("tick") * tick_ms).withColumn("step", 1 + number % 20)
     lead = F.col("produced_at") - F.col("tick") * F.col("step")
     before = Window.partitionBy("zone_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("t", F.min(lead).over(before) + F.col("tick") * F.col("step"))
-    noise = (pseudo_random(noise_seed(number, F.col("t"))) - 0.5) * NOISE
-    load = scenario_load(F.col("base_load"), scenario) * (1 + daily_factor(hour_of(F.col("t"))) + noise)
-    load = F.greatest(F.lit(0.0), F.least(F.lit(1.0), load))
-    seq = F.col("tick") * 1_000_000 + number
-    return rows.select(seq.alias("seq"), "zone_id", "latitude", "longitude", F.round(load, 3).alias("load"), "t", "produced_at")
+    load = _load(F.col("base_load"), number, F.col("t"), scenario)
+    seq = F.col("tick") * stride + number
+    return rows.select(seq.alias("seq"), "zone_id", "latitude", "longitude", load.alias("load"), "t", "produced_at")
 
 
 def sensor_events(events: DataFrame) -> DataFrame:
@@ -76,7 +96,19 @@ def sensor_events(events: DataFrame) -> DataFrame:
     )
 
 
-def rate_events(spark: SparkSession, zones: DataFrame, rows_per_second: int) -> DataFrame:
-    """A live stream of ticks for all zones, from the built-in rate source."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return ticks.crossJoin(F.broadcast(zones))
+def live_events(spark: SparkSession, zones: DataFrame, ticks_per_second: int, scenario: str = "normal") -> DataFrame:
+    """A live stream of sensor events in wire form, one for each zone and tick of the built-in rate source.
+
+    Clocks are the ticks' own (a stream has no running minimum); zones must be few, they travel with the ticks."""
+    if zones.limit(MOST_LIVE_ZONES + 1).count() > MOST_LIVE_ZONES:
+        raise ValueError(f"at most {MOST_LIVE_ZONES} zones can be live at once")
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", ticks_per_second).load()
+    rows = ticks.select(F.unix_millis("timestamp").alias("t"), F.col("value").alias("tick")).join(F.broadcast(zones))
+    number = zone_number(F.col("zone_id"))
+    rows = rows.withColumn("load", _load(F.col("base_load"), number, F.col("t"), scenario)).withColumn("produced_at", F.col("t"))
+    return sensor_events(rows)
+
+
+def first_zones(zones: DataFrame, n: int = 5) -> DataFrame:
+    """The first zones by number, as a summary."""
+    return zones.orderBy(zone_number(F.col("zone_id"))).limit(n)

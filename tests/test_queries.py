@@ -63,7 +63,7 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
             rows.coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
         pipeline.start(stream, str(tmp_path / "out")).awaitTermination(240)
-    got = spark.read.parquet(str(tmp_path / "out/transitions")).drop("batch")
+    got = spark.read.parquet(str(tmp_path / "out/transitions")).drop("batch", "latitude", "longitude")
     assert sorted(map(tuple, got.collect())) == expected
     from loadlens.operators.views import latest_state
     from loadlens.sources.sinks import read_history, read_latest
@@ -72,6 +72,7 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     assert sorted(r.id for r in read_history(spark, str(tmp_path / "out/history")).collect()) == sorted(r[1] for r in alerted)
     latest = latest_state(got)
     columns = sorted(latest.columns)
+    assert read_latest(spark, str(tmp_path / "out/latest")).columns[-2:] == ["latitude", "longitude"]
     assert sorted(map(tuple, read_latest(spark, str(tmp_path / "out/latest")).select(columns).collect())) == sorted(map(tuple, latest.select(columns).collect()))
 
 
@@ -106,9 +107,11 @@ def test_radius_and_arguments(spark):
     near = geo.within(zones, 10.0, 179.0, 1500.0).collect()
     plain = zones.withColumn("d", geo.distance_km(F.lit(10.0), F.lit(179.0), F.col("latitude"), F.col("longitude"))).filter("d <= 1500").collect()
     assert {r.zone_id for r in near} == {r.zone_id for r in plain} and near
-    pairs = geo.pairs_within(zones.limit(20), zones, 2000.0)
-    cross = zones.limit(20).crossJoin(zones.select(F.col("zone_id").alias("z"), F.col("latitude").alias("a"), F.col("longitude").alias("b")))
-    assert pairs.count() == cross.filter(geo.distance_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b")) <= 2000).count()
+    cross = zones.crossJoin(zones.select(F.col("zone_id").alias("z"), F.col("latitude").alias("a"), F.col("longitude").alias("b")))
+    for radius in (300.0, 2000.0, 9000.0):
+        pairs = geo.pairs_within(zones, zones, radius)
+        want = cross.filter(geo.distance_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b")) <= radius)
+        assert sorted((r.zone_id, r.near_zone) for r in pairs.collect()) == sorted((r.zone_id, r.z) for r in want.collect())
     for bad in (None, float("nan"), "3"):
         with pytest.raises(ValueError, match="number"):
             geo.within(zones, bad, 0.0, 1.0)
@@ -123,3 +126,90 @@ def test_histogram_and_gaps_across_blocks(spark):
     assert sorted(r.gap for r in got.collect()) == [2 * i + 1 for i in range(39)]
     row = metrics.histogram(got, F.col("gap"), "zone_id").first()
     assert (row.le_1, row.le_5, row.le_100, row["count"], row.total) == (1, 3, 39, 39, 39 * 39)
+
+
+def test_runs_equal_single_steps():
+    import random
+
+    import numpy as np
+
+    from loadlens.operators.machine import ZoneState, flags, run, step
+
+    rng = random.Random(11)
+    for trial in range(200):
+        n, t, rows = rng.randint(0, 400), 0, []
+        level = [700, 700]
+        for _ in range(n):
+            t += rng.choice([0, 10, 900, 5000, 15_000]) - (trial % 3 == 0) * rng.choice([0, 0, 2000])
+            if rng.random() < 0.1:
+                level = [rng.choice([500, 640, 760, 850, 950]), rng.choice([500, 650, 760, 800, 900])]
+            rows.append((t, level[0], 1, level[1], 1))
+        one, z = [], ZoneState()
+        for k, (t_, *s) in enumerate(rows):
+            if change := step(z, t_, *flags(*s)):
+                one.append((k, *change))
+        columns = [np.array([r[j] for r in rows], np.int64) for j in range(5)]
+        whole, other = [], ZoneState()
+        for a in range(0, max(n, 1), 150):  # in batches
+            whole += [(a + k, *c) for k, *c in run(other, *(c[a : a + 150] for c in columns))]
+        assert [tuple(x) for x in whole] == one and z == other
+
+
+def test_point_queries_filter_below_the_fold(spark, sf_small):
+    from loadlens.plans import queries
+
+    for name in ("zone_by_id", "zone_alert_list", "zone_history"):
+        plan = queries.QUERIES[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("MapInArrow") :]
+        assert "Filter" in below and "Z-" in below, name
+
+
+def test_history_is_pruned_by_day(spark, sf_small):
+    from loadlens.plans import queries
+
+    folder = queries._streamed(spark, sf_small)
+    plan = queries.stream_history(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters" in plan and "zone_id" in plan[plan.index("PushedFilters") :]
+    assert spark.read.parquet(f"{folder}/transitions").select("batch").distinct().count() > 1
+
+
+def test_generator_without_joins(spark):
+    rows = generate_events(generate_zones(spark, 10), 2500, 1_704_067_200_000, 3)
+    assert rows.count() == 25_000 and "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert generate_events(generate_zones(spark, 10), 0, 0, 3).count() == 0
+    with pytest.raises(ValueError, match="stride"):
+        generate_events(generate_zones(spark, 20), 5, 0, 3, stride=20)
+
+
+def test_live_events_are_a_stream(spark):
+    from loadlens.sources import generator
+
+    live = generator.live_events(spark, generate_zones(spark, 3), 10)
+    assert live.isStreaming and live.columns == ["eventId", "zoneId", "latitude", "longitude", "load", "eventTimestamp", "producedAt"]
+
+
+def test_scenarios_and_samples(spark):
+    from loadlens.functions import scalar
+    from loadlens.sources import decode as d
+
+    rows = spark.createDataFrame([(0.2,), (0.7,)], "x double")
+    for name, want in (("normal", [0.2, 0.7]), ("spike", [0.7, 1.0]), ("drop", [0.0, 0.3]), ("odd", [0.2, 0.7])):
+        got = [r[0] for r in rows.select(scalar.scenario_load(F.col("x"), name)).collect()]
+        assert got == pytest.approx(want)
+    assert d.decoded_alerts(d.encoded_alerts(d.sample_alert(spark, 5)))[0].first().timestamp == 5
+
+
+def test_progress_is_observed_and_duplicates_can_go(spark, tmp_path):
+    events = zone_events(spark, "/root/testdata/sf0.001")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    events.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    listener = pipeline.Progress()
+    spark.streams.addListener(listener)
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = pipeline.start(stream, str(tmp_path / "out"), "unique", unique="seq")
+    query.awaitTermination(240)
+    rows = spark.read.parquet(str(tmp_path / "out/transitions"))
+    assert rows.count() == transitions.transitions(windows.scored(events)).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(listener)
+    assert listener.rows == 2000 and listener.observed["events_processed"] == 1000
