@@ -25,12 +25,14 @@ def _ordered(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("zone_id", "seq", *columns).repartition("zone_id").sortWithinPartitions("zone_id", "seq")
 
 
-def transitions(scored: DataFrame) -> DataFrame:
-    """Changes of state with averages at the event and whether an alert went out, of scored events."""
+def transitions(scored: DataFrame, in_order: bool = False) -> DataFrame:
+    """Changes of state with averages at the event and whether an alert went out, of scored events.
+
+    in_order: the averages hold only if no event came late (``windows.scored``); one that did fails the job."""
     rows = _ordered(scored, "t", "sum60", "count60", "sum300", "count300")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zone, z = None, ZoneState()
+        zone, z, last = None, ZoneState(), None
         for batch in batches:
             ids = batch.column(0).dictionary_encode()
             code = ids.indices.to_numpy()
@@ -39,8 +41,13 @@ def transitions(scored: DataFrame) -> DataFrame:
             out = []
             for a, b in zip(cuts, cuts[1:]):
                 if (own := batch.column(0)[a].as_py()) != zone:
-                    zone, z = own, ZoneState()
+                    zone, z, last = own, ZoneState(), None
                 t, s1, n1, s5, n5 = (c[a:b] for c in columns)
+                if in_order:
+                    sec = t // 1000
+                    if (sec[1:] < sec[:-1]).any() or (last is not None and sec[0] < last):
+                        raise ValueError(f"an event of {own} came late: use scored() or scored_in_arrival_order()")
+                    last = sec[-1]
                 for k, before, after, alerted in run(z, t, s1, n1, s5, n5):
                     out.append((own, int(seq[a + k]), int(t[k]), before, after, s1[k] / (n1[k] * 1000), s5[k] / (n5[k] * 1000), alerted))
             if out:

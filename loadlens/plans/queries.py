@@ -122,7 +122,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str, zone: str | None = None) -> DataFrame:
-    return transitions.transitions(transitions.scored(_events(spark, sf_dir, zone)))
+    return transitions.transitions(windows.scored(_events(spark, sf_dir, zone)), in_order=True)
 
 
 def _alerts(spark: SparkSession, sf_dir: str, zone: str | None = None) -> DataFrame:

@@ -213,3 +213,10 @@ def test_progress_is_observed_and_duplicates_can_go(spark, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.streams.removeListener(listener)
     assert listener.rows == 2000 and listener.observed["events_processed"] == 1000
+
+
+def test_late_events_fail_where_order_is_taken_for_granted(spark, sf_small):
+    late = zone_events(spark, sf_small, late=True)
+    with pytest.raises(Exception, match="came late"):
+        transitions.transitions(windows.scored(late), in_order=True).collect()
+    assert transitions.transitions(transitions.scored(late)).count() == sum(EXPECTED["sf0.001", True][:4])
