@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 
@@ -330,6 +331,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_chars): each pair once, with the least distance (a row of docs is one document)."""
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     small_batches(docs.sparkSession)
     rows, out = docs.select("doc_id", F.col("text").cast("string").alias("text")), None
     for items in blocks(benchmark):
@@ -342,7 +344,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = items.matches(texts)
                 of = batch.column(0).take(pa.array([r for r, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": of, "item_id": [items.ids[i] for _, i, _ in found], "distance": pa.array([d for _, _, d in found], pa.int32()),
+                    {"doc_id": of, "item_id": pa.array([items.ids[i] for _, i, _ in found], item_type), "distance": pa.array([d for _, _, d in found], pa.int32()),
                      "item_chars": pa.array([int(items.chars[i]) for _, i, _ in found], pa.int32())}
                 )
 

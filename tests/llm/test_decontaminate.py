@@ -140,3 +140,13 @@ def test_repeated_rows_ties_and_extra_columns(spark):
     rows = dec.contaminated(docs, bench).collect()
     assert sorted((str(r.doc_id), r.item_id, r.distance) for r in rows) == sorted((d, i, 0) for d in ("1", "1", "None") for i in (1, 2))
     assert [tuple(r) for r in dec.decontaminated(docs, bench).collect()] == [(2, "other text", 8)]
+
+
+def test_batches_with_and_without_matches(spark):
+    rng = random.Random(9)
+    item = " ".join(words(rng, 20))
+    docs = spark.createDataFrame([(k, item if k in (3, 70) else " ".join(words(rng, 20))) for k in range(100)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    assert sorted(r.doc_id for r in dec.contaminated(docs, bench).collect()) == [3, 70]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
