@@ -45,7 +45,7 @@ BLOCK, TEXTS, MOST = 300_000, 2_000, 1_000_000
 #: Fewer texts go one by one.
 SIDE_BY_SIDE = 24
 #: Symbols of one anchor's segments from which on their windows are dealt again.
-LONG = 200_000
+LONG = 8_000_000
 #: Windows that are hashed at once.
 PIECE = 1 << 20
 #: Strings of twice the length are hashed from two halves, each time with another odd factor.
