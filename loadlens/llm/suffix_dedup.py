@@ -44,8 +44,8 @@ WIDE_ANCHOR = 32
 BLOCK, TEXTS, MOST = 300_000, 2_000, 1_000_000
 #: Fewer texts go one by one.
 SIDE_BY_SIDE = 24
-#: Symbols of one anchor's segments from which on their windows are dealt again.
-LONG = 8_000_000
+#: Symbols of one anchor's segments from which on only what may recur among them is compared, judged by such strings.
+LONG, PROBE = 2_000, 32
 #: Windows that are hashed at once.
 PIECE = 1 << 20
 #: Strings of twice the length are hashed from two halves, each time with another odd factor.
@@ -391,18 +391,31 @@ class Pieces:
         return tuple(np.concatenate([x[plain], *(y[j] for y in again)]) for j, x in enumerate((anchor, row, first, n)))
 
 
-def finer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(wide anchor, text, first window, windows) of the runs of windows with one wide anchor."""
+def recurring(texts: list[bytes], key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows) of the runs of windows all of whose PROBE-byte strings recur among texts with their key.
+
+    A window that recurs passes, whatever the hashes; what a hash lets through by mistake, the suffix array parts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
-    h = np.concatenate(list(anchors(b"".join(texts), width=WIDE_ANCHOR)))
+    h = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    for s, factor in FACTORS:
+        h = h[:-s] * np.uint64(factor) + h[s:]
+        h ^= h >> np.uint64(31)
     of = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
-    inside = np.arange(len(h)) + WINDOW <= ends[of]
-    edge = np.flatnonzero(heads(h) | heads(of) | heads(inside))
-    n = widths(edge, len(h))
-    keep = inside[edge]
+    h = (h ^ key[of]) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    missing = np.r_[0, np.cumsum(~twice)]
+    at = np.arange(len(h) - (WINDOW - PROBE))
+    good = (at + WINDOW <= ends[of[at]]) & (missing[at + WINDOW - PROBE + 1] == missing[at])
+    edge = np.flatnonzero(heads(of[at]) | heads(good))
+    n = widths(edge, len(at))
+    keep = good[edge]
     edge, n = edge[keep], n[keep]
-    return h[edge], of[edge], edge - (ends - sizes)[of[edge]], n
+    return of[edge], edge - (ends - sizes)[of[edge]], n
 
 
 def earliest(
@@ -410,8 +423,8 @@ def earliest(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment, a, b, earliest document) of the runs of windows of segments (key, body, first document).
 
-    Segments with one key are compared with each other, equal ones as one text; where these make a long text, their
-    windows are dealt again by wide anchors first (times then says how many segments stand behind each)."""
+    Segments with one key are compared with each other, equal ones as one text; where these make a long text, only what
+    may recur in it is compared (times then says how many segments stand behind each)."""
     order = np.argsort(key, kind="stable")
     known: dict[tuple[int, bytes], int] = {}
     of = np.empty(len(key), np.int64)
@@ -431,11 +444,17 @@ def earliest(
     if times is None and (long := compared[whole[compared] > LONG]).size:
         compared = compared[whole[compared] <= LONG]
         which = spread(at[long], members[long])
-        wide, owner, start, n = finer([texts[i] for i in which.tolist()])
+        # what stands in one text only has that text's first document as its earliest
+        several = which[number[which] > 1]
+        made.append((several, np.zeros(len(several), np.int64), sizes[several] - WINDOW + 1, first[several]))
+        owner, start, n = recurring([texts[i] for i in which.tolist()], keys[which])
         owner = which[owner]
         parts = [texts[i][x : x + k + WINDOW - 1] for i, x, k in zip(owner.tolist(), start.tolist(), n.tolist())]
-        piece, a, b, early = earliest(wide ^ keys[owner], parts, first[owner], number[owner])
-        made.append((owner[piece], a + start[piece], b + start[piece], early))
+        if parts:
+            piece, a, b, early = earliest(keys[owner], parts, first[owner], number[owner])
+            less = early < first[owner[piece]]
+            piece, a, b, early = piece[less], a[less], b[less], early[less]
+            made.append((owner[piece], a + start[piece], b + start[piece], early))
     for k in compared[np.argsort(whole[compared], kind="stable")].tolist():
         held.append(k)
         room += int(whole[k])

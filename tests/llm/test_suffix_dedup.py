@@ -120,3 +120,30 @@ def test_query_against_sql(spark, sf_small):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_small}/documents.parquet'")
     want = sorted(db.execute(sd.OP3_SQL).fetchall())
     assert sorted(map(tuple, sd.op3_suffix_array(spark, sf_small).collect())) == want
+
+
+@pytest.mark.parametrize("long", [10, 10**9])
+def test_earliest_documents_of_windows(monkeypatch, long):
+    """Every window of every segment gets the first document that starts it, also where only recurring parts are compared."""
+    monkeypatch.setattr(sd, "LONG", long)
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("ab c", k=90)) for _ in range(6)]
+    key, bodies, least = [], [], []
+    for _ in range(150):
+        text = rng.choice(pool)
+        a = rng.randrange(30)
+        body = rng.choice(["", "".join(rng.choices("abc", k=rng.randrange(9)))]) + text[a : a + rng.randint(50, 90)]
+        if len(body) >= 50:
+            key.append(rng.randrange(3))
+            bodies.append(body.encode())
+            least.append(rng.randrange(40))
+    first = {}
+    for k, body, d in zip(key, bodies, least):
+        for p in range(len(body) - 49):
+            w = (k, body[p : p + 50])
+            first[w] = min(first.get(w, d), d)
+    found = [[least[i]] * (len(b) - 49) for i, b in enumerate(bodies)]
+    for i, a, b, d in zip(*(x.tolist() for x in sd.earliest(np.array(key, np.uint64), bodies, np.array(least)))):
+        for p in range(a, b):
+            found[i][p] = min(found[i][p], d)
+    assert found == [[first[k, b[p : p + 50]] for p in range(len(b) - 49)] for k, b in zip(key, bodies)]
