@@ -10,9 +10,9 @@ To spread the work, every 50-byte window is dealt to the smallest hash of its 16
 windows have equal anchors, and windows that follow one another with one anchor form a segment. Anchors that no other
 document holds can't matter and are found by ``exchange``; of an anchor that very many chunks hold the windows are dealt
 again, by the smallest hash of their 32-byte strings. A chunk sends each distinct segment once, with the first and the
-last of its documents; all segments of an anchor make one text with one suffix array, and neighbours in it that agree
-for 50 bytes make a class, whose earliest document decides: a window goes from every later one. Hashes only deal work
-out; equality is the suffix array's alone.
+last of its documents; what may recur among an anchor's segments (hashes of 32-byte strings tell what can't) makes one
+text with one suffix array, and neighbours in it that agree for 50 bytes make a class, whose earliest document decides: a
+window goes from every later one. Hashes only deal work out; equality is the suffix array's alone.
 
 Defined cases: a null text counts as empty; texts shorter than a window lose nothing; a row with a null doc_id is
 earlier or later than none and is kept whole; rows that repeat a doc_id are judged one by one, each by its own text,
@@ -42,10 +42,11 @@ ANCHOR = 16
 WIDE_ANCHOR = 32
 #: Symbols and texts that go through suffix arrays at once, about: that many of both, or MOST symbols.
 BLOCK, TEXTS, MOST = 300_000, 2_000, 1_000_000
-#: Fewer texts go one by one.
-SIDE_BY_SIDE = 24
-#: Symbols of one anchor's segments from which on only what may recur among them is compared, judged by such strings.
-LONG, PROBE = 2_000, 32
+#: Symbols that one text alone is taken through in the time of a step of many texts side by side, and in that of a symbol there.
+STEP, BESIDE = 10, 0.2
+#: Symbols of one anchor's segments above which only what may recur among them is compared, judged by such strings; bytes
+#: that are judged at once, about.
+LONG, PROBE, JUDGED = 0, 32, 100_000
 #: Windows that are hashed at once.
 PIECE = 1 << 20
 #: Strings of twice the length are hashed from two halves, each time with another odd factor.
@@ -394,28 +395,49 @@ class Pieces:
 def recurring(texts: list[bytes], key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, windows) of the runs of windows all of whose PROBE-byte strings recur among texts with their key.
 
-    A window that recurs passes, whatever the hashes; what a hash lets through by mistake, the suffix array parts."""
+    Texts lie by key. A window that recurs passes, whatever the hashes; what a hash lets through by mistake, the suffix
+    array parts."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    out, lo, done = [], 0, 0
+    for hi in (*np.flatnonzero(heads(key))[1:].tolist(), len(texts)):
+        if ends[hi - 1] - done >= JUDGED or hi == len(texts):
+            of, first, n = _recurring(texts[lo:hi], key[lo:hi])
+            out.append((of + lo, first, n))
+            lo, done = hi, ends[hi - 1]
+    of, first, n = (np.concatenate([x[j] for x in out]) for j in range(3))
+    return of, first, n
+
+
+def _recurring(texts: list[bytes], key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     h = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
     for s, factor in FACTORS:
         h = h[:-s] * np.uint64(factor) + h[s:]
         h ^= h >> np.uint64(31)
-    of = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
-    h = (h ^ key[of]) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= key.repeat(sizes)[: len(h)]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort(h)
-    same = h[order[1:]] == h[order[:-1]]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    missing = np.r_[0, np.cumsum(~twice)]
-    at = np.arange(len(h) - (WINDOW - PROBE))
-    good = (at + WINDOW <= ends[of[at]]) & (missing[at + WINDOW - PROBE + 1] == missing[at])
-    edge = np.flatnonzero(heads(of[at]) | heads(good))
-    n = widths(edge, len(at))
-    keep = good[edge]
-    edge, n = edge[keep], n[keep]
-    return of[edge], edge - (ends - sizes)[of[edge]], n
+    h = h[order]
+    same = h[1:] == h[:-1]
+    once = np.ones(len(h), bool)
+    once[order[1:][same]] = False
+    once[order[:-1][same]] = False
+    missing = np.r_[0, np.cumsum(once)]
+    probes = WINDOW - PROBE + 1
+    good = missing[probes:] == missing[:-probes]
+    good[spread(ends[:-1] - WINDOW + 1, np.full(len(ends) - 1, WINDOW - 1))] = False  # these reach into the next text
+    edge = np.flatnonzero(np.diff(good.view(np.int8), prepend=0, append=0))
+    first, n = edge[::2], edge[1::2] - edge[::2]
+    of = np.searchsorted(ends, first, "right")
+    return of, first - (ends - sizes)[of], n
+
+
+def apart(sizes: np.ndarray) -> int:
+    """How many of the longest of texts (sizes rising) go one by one, as side by side each step of the longest costs STEP."""
+    longest = np.r_[sizes[::-1], 0]
+    singly = np.r_[0, np.cumsum(sizes[::-1])]
+    return int(np.argmin(singly + STEP * longest + BESIDE * (singly[-1] - singly)))
 
 
 def earliest(
@@ -423,8 +445,8 @@ def earliest(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment, a, b, earliest document) of the runs of windows of segments (key, body, first document).
 
-    Segments with one key are compared with each other, equal ones as one text; where these make a long text, only what
-    may recur in it is compared (times then says how many segments stand behind each)."""
+    Segments with one key are compared with each other, equal ones as one text, and of these only what may recur (times
+    then says how many segments stand behind each)."""
     order = np.argsort(key, kind="stable")
     known: dict[tuple[int, bytes], int] = {}
     of = np.empty(len(key), np.int64)
@@ -488,11 +510,11 @@ def _classes(held, at, members, whole, texts, sizes, first):
     # a symbol is the next six bytes: the order of suffixes stays, and groups are small from the start
     symbols = (np.ndarray((n,), ">u8", raw, strides=(1,)).astype(np.uint64) >> np.uint64(16)).astype(np.int64)
     total = whole[held]
-    if len(held) >= SIDE_BY_SIDE:
-        order = suffix_arrays(symbols, total)
-    else:
-        start = np.cumsum(total) - total
-        order = np.concatenate([np.frombuffer(suffix_array(symbols[s : s + k]), np.int32).astype(np.int64) + s for s, k in zip(start.tolist(), total.tolist())])
+    start = np.cumsum(total) - total
+    few = len(held) - apart(total)
+    orders = [suffix_arrays(symbols[: start[few]] if few < len(held) else symbols, total[:few])] if few else []
+    orders += [np.frombuffer(suffix_array(symbols[s : s + k]), np.int32).astype(np.int64) + s for s, k in zip(start[few:].tolist(), total[few:].tolist())]
+    order = np.concatenate(orders)
     own = np.repeat(np.arange(len(which)), size + 1)
     group = np.repeat(np.arange(len(held)), many)
     order = order[order + WINDOW <= (begin + size)[own[order]]]

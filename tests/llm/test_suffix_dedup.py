@@ -147,3 +147,34 @@ def test_earliest_documents_of_windows(monkeypatch, long):
         for p in range(a, b):
             found[i][p] = min(found[i][p], d)
     assert found == [[first[k, b[p : p + 50]] for p in range(len(b) - 49)] for k, b in zip(key, bodies)]
+
+
+def test_long_texts_dont_keep_short_ones_waiting(monkeypatch):
+    """Only what may recur goes into suffix arrays, and one long text isn't stepped through beside many short ones."""
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choices("abcdefgh ", k=80))) for k in range(300) for _ in range(2)]  # nothing recurs
+    rows += [(k, text) for k in range(300, 340) for text in ["".join(rng.choices("abcdefgh ", k=60))] for text in (text, text + "!")]
+    hot = "".join(rng.choices("abcdefgh ", k=6000))
+    rows += [(999, hot), (999, "?" + hot[7:])]
+    seen = []
+    singly, beside = sd.suffix_array, sd.suffix_arrays
+    monkeypatch.setattr(sd, "suffix_array", lambda text: seen.append(("singly", len(text))) or singly(text))
+    monkeypatch.setattr(sd, "suffix_arrays", lambda symbols, sizes: seen.append(("beside", int(sizes.max()), len(symbols))) or beside(symbols, sizes))
+    key, bodies = np.array([k for k, _ in rows], np.uint64), [t.encode() for _, t in rows]
+    early = {i: [0] * (len(b) - 49) for i, b in enumerate(bodies)}
+    for i, a, b, d in zip(*(x.tolist() for x in sd.earliest(key, bodies, np.arange(len(rows))))):
+        if d < i:
+            early[i][a:b] = [1] * (b - a)
+    assert {i: sum(x) for i, x in early.items() if any(x)} == {**{600 + 2 * k + 1: 11 for k in range(40)}, 681: 6000 - 7 - 49}
+    assert max(x[1] for x in seen if x[0] == "beside") < 200 and ("singly", 6000 - 7 + 1) in seen  # equal parts are one text
+    assert sum(x[-1] for x in seen) < 6000 + 40 * 62
+
+
+def test_recurring_windows_are_found_block_by_block(monkeypatch):
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("ab c", k=120)).encode() for _ in range(4)]
+    texts = [rng.choice(pool)[rng.randrange(40) : rng.randrange(91, 120)] for _ in range(80)]
+    key = np.sort(np.array([rng.randrange(20) for _ in texts], np.uint64))
+    whole = sd.recurring(texts, key)
+    monkeypatch.setattr(sd, "JUDGED", 150)
+    assert len(whole[0]) and all(np.array_equal(a, b) for a, b in zip(whole, sd.recurring(texts, key)))
