@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import written
-from .exchange import COMMON, Distinct, by_part, chunked, dealt, marked, part_edges, parts_for, ranked, shared, slices, texts_of
+from .exchange import COMMON, Distinct, by_part, chunked, dealt, heads, marked, part_edges, parts_for, ranked, shared, slices, spread, texts_of, widths
 
 WINDOW = 50
 ANCHOR = 16
@@ -153,27 +153,6 @@ def suffix_array(text: np.ndarray) -> array:
     return out
 
 
-def heads(x: np.ndarray) -> np.ndarray:
-    """True where a run of equal values begins."""
-    out = np.empty(len(x), bool)
-    out[:1] = True
-    np.not_equal(x[1:], x[:-1], out[1:])
-    return out
-
-
-def widths(first: np.ndarray, n: int) -> np.ndarray:
-    out = np.empty(len(first), np.int64)
-    np.subtract(first[1:], first[:-1], out[:-1])
-    out[-1:] = n - first[-1:]
-    return out
-
-
-def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... many of them, for each."""
-    ends = many.cumsum()
-    return (first - ends + many).repeat(many) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def lyndon_groups_of_many(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``lyndon_groups`` of many texts laid end to end: each step takes every text's highest group that is left.
 
